@@ -23,19 +23,23 @@ TOKENIZERS = os.environ.get("TERRALITH_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenising pattern that the byte-level vocabulary was made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_ENCODERS: dict = {}
 
 
-def _encoder(held):
-    """The tokenizer in this Python worker, built once from the broadcast vocabulary file."""
-    if held.id not in _ENCODERS if hasattr(held, "id") else id(held) not in _ENCODERS:
-        import base64
+def _encoder(vocabulary: bytes):
+    """The tokenizer of a vocabulary file, built once in each Python worker: the worker outlives the tasks that it serves."""
+    import base64
+    import sys
+    import types
+    import zlib
 
-        import tiktoken
+    import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
-        _ENCODERS[held.id if hasattr(held, "id") else id(held)] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[held.id if hasattr(held, "id") else id(held)]
+    held = sys.modules.setdefault("_terralith_worker", types.ModuleType("_terralith_worker"))
+    key = f"encoder_{zlib.crc32(vocabulary)}_{len(vocabulary)}"
+    if not hasattr(held, key):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        setattr(held, key, tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    return getattr(held, key)
 
 
 def count_tokens(spark, column, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
@@ -48,7 +52,7 @@ def count_tokens(spark, column, folder: str = TOKENIZERS, vocabulary: str = VOCA
 
     @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:
-        encoder = _encoder(held)
+        encoder = _encoder(held.value)
         return pd.Series([len(encoder.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     return tokens(column)

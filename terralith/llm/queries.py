@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.llm import canonical, grouping, mixing, sampling
+from terralith.llm import canonical, grouping, leaks, mixing, overlap, sampling
 
 
 def queries() -> dict:
@@ -15,6 +15,10 @@ def queries() -> dict:
         "p2_report": grouping.p2_report,
         "p3_found": canonical.p3_found,
         "p3_unmatched": canonical.p3_unmatched,
+        "p5_found": overlap.p5_found,
+        "p5_report": overlap.p5_report,
+        "p6_found": leaks.p6_found,
+        "p6_report": leaks.p6_report,
         "p7_found": mixing.p7_found,
         "p7_report": mixing.p7_report,
         "p7_mix": mixing.p7_mix,
