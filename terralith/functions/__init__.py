@@ -1 +1,92 @@
+"""Spatial and similarity functions: JVM functions over WKB, registered in a session under their SQL names.
 
+The geometry library ships with Spark. The source in `terralith/jvm` is compiled once with the JDK's compiler and added to the
+session as a jar, which Spark's file server hands to all executors. Calls stay inside Catalyst plans, so they can stand in join
+conditions, semi-joins and anti-joins, where Python functions cannot.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import shutil
+import subprocess
+import tempfile
+import zipfile
+
+import pyspark
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SOURCE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "jvm", "Geo.java")
+_B, _D, _S, _L = T.BinaryType(), T.DoubleType(), T.StringType(), T.BooleanType()
+#: SQL name: class, result, and which arguments are doubles or ints (JVM functions get no implicit casts).
+FUNCTIONS = {
+    "st_intersects": ("Intersects", _L, {}), "st_touches": ("Touches", _L, {}), "st_contains": ("Contains", _L, {}), "st_within": ("Within", _L, {}),
+    "st_area": ("Area", _D, {}), "st_xmin": ("XMin", _D, {}), "st_ymin": ("YMin", _D, {}), "st_xmax": ("XMax", _D, {}), "st_ymax": ("YMax", _D, {}), "st_box": ("Box", T.ArrayType(_D), {}),
+    "st_intersection": ("Intersection", _B, {}), "st_difference": ("Difference", _B, {}), "st_buffer": ("Buffer", _B, {1: "double"}),
+    "st_makeenvelope": ("MakeEnvelope", _B, {0: "double", 1: "double", 2: "double", 3: "double"}), "st_envelope": ("EnvelopeOf", _B, {}),
+    "st_simplifypreservetopology": ("Simplify", _B, {1: "double"}), "st_union_list": ("UnionList", _B, {}), "st_geomfromtext": ("FromText", _B, {}), "st_astext": ("AsText", _S, {}),
+    "st_asgeojson": ("AsGeoJson", _S, {}), "st_geojson_simplified": ("SimplifiedGeoJson", _S, {1: "double", 2: "int"}), "st_geomfromgeojson": ("FromGeoJson", _B, {}),
+    "st_holds_point": ("HoldsPoint", _L, {1: "double", 2: "double"}), "st_cover": ("Cover", T.ArrayType(T.LongType()), {1: "int", 2: "int"}),
+    "jaro_winkler_similarity": ("JaroWinkler", _D, {}),
+}
+_REGISTERED: set[str] = set()
+
+
+def _javac(spark: SparkSession) -> str:
+    home = spark._jvm.System.getProperty("java.home")
+    for path in (os.path.join(home, "bin", "javac"), os.path.join(os.environ.get("JAVA_HOME", ""), "bin", "javac"), shutil.which("javac") or ""):
+        if os.path.isfile(path):
+            return path
+    raise RuntimeError("the spatial functions need a JDK: no javac beside the running JVM, in JAVA_HOME or on the PATH; or build the jar elsewhere and name it in TERRALITH_JAR")
+
+
+def jar(spark: SparkSession) -> str:
+    """The compiled functions' jar, built at first use; TERRALITH_JAR may name a jar that was built before."""
+    if os.environ.get("TERRALITH_JAR"):
+        return os.environ["TERRALITH_JAR"]
+    with open(SOURCE, "rb") as file:
+        mark = hashlib.sha256(file.read() + pyspark.__version__.encode()).hexdigest()[:16]
+    beside = os.path.join(os.path.dirname(SOURCE), "build")
+    folder = beside if os.access(os.path.dirname(SOURCE), os.W_OK) else os.path.join(tempfile.gettempdir(), f"terralith-{os.getuid()}")
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, f"terralith-{mark}.jar")
+    if not os.path.exists(target):
+        with tempfile.TemporaryDirectory(dir=folder) as work:
+            libraries = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
+            done = subprocess.run([_javac(spark), "-nowarn", "-encoding", "UTF-8", "--release", "17", "-cp", libraries, "-d", work, SOURCE], capture_output=True, text=True)
+            if done.returncode:
+                raise RuntimeError(f"compiling {SOURCE} failed: {done.stderr[-2000:]}")
+            part = os.path.join(work, "part.jar")
+            with zipfile.ZipFile(part, "w") as archive:
+                for base, _, files in os.walk(work):
+                    for name in files:
+                        if name.endswith(".class"):
+                            archive.write(os.path.join(base, name), os.path.relpath(os.path.join(base, name), work))
+            os.replace(part, target)
+    return target
+
+
+def register(spark: SparkSession) -> None:
+    """Registers all functions in the session; does nothing if they are there."""
+    mark = f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
+    if mark in _REGISTERED:
+        return
+    spark.sql(f"ADD JAR '{jar(spark)}'")
+    for name, (cls, result, _) in FUNCTIONS.items():
+        spark.udf.registerJavaFunction(name, f"terralith.Geo${cls}", result)
+    _REGISTERED.add(mark)
+
+
+def call(name: str, *args) -> Column:
+    """A registered function applied to columns, column names or numbers, with the casts that it needs."""
+    casts = FUNCTIONS[name][2]
+    columns = [F.col(a) if isinstance(a, str) else a if isinstance(a, Column) else F.lit(a) for a in args]
+    return F.call_function(name, *[c.cast(casts[i]) if i in casts else c for i, c in enumerate(columns)])
+
+
+def st_union_agg(column) -> Column:
+    """Union of a group's geometries; null for a group without any."""
+    return call("st_union_list", F.collect_list(column))
