@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.llm import canonical, grouping, leaks, mixing, overlap, sampling
+from terralith.llm import abuse, canonical, grouping, leaks, mixing, overlap, sampling
 
 
 def queries() -> dict:
@@ -22,6 +22,9 @@ def queries() -> dict:
         "p7_found": mixing.p7_found,
         "p7_report": mixing.p7_report,
         "p7_mix": mixing.p7_mix,
+        "p8_found": abuse.p8_found,
+        "p8_report": abuse.p8_report,
+        "p8_scores": abuse.p8_scores,
     }
 
 
