@@ -23,7 +23,7 @@ SOURCE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))
 _B, _D, _S, _L = T.BinaryType(), T.DoubleType(), T.StringType(), T.BooleanType()
 #: SQL name: class, result, and which arguments are doubles or ints (JVM functions get no implicit casts).
 FUNCTIONS = {
-    "st_intersects": ("Intersects", _L, {}), "st_touches": ("Touches", _L, {}), "st_contains": ("Contains", _L, {}), "st_within": ("Within", _L, {}),
+    "st_intersects": ("Intersects", _L, {}), "st_touches": ("Touches", _L, {}), "st_contains": ("Contains", _L, {}), "st_within": ("Within", _L, {}), "st_crossing": ("Crossing", _L, {}),
     "st_area": ("Area", _D, {}), "st_xmin": ("XMin", _D, {}), "st_ymin": ("YMin", _D, {}), "st_xmax": ("XMax", _D, {}), "st_ymax": ("YMax", _D, {}), "st_box": ("Box", T.ArrayType(_D), {}),
     "st_intersection": ("Intersection", _B, {}), "st_difference": ("Difference", _B, {}), "st_buffer": ("Buffer", _B, {1: "double"}),
     "st_makeenvelope": ("MakeEnvelope", _B, {0: "double", 1: "double", 2: "double", 3: "double"}), "st_envelope": ("EnvelopeOf", _B, {}),

@@ -28,7 +28,7 @@ PREDICATES = {
     "touches": lambda a, b: call("st_touches", a, b),
     "within": lambda a, b: call("st_within", a, b),
     "contains": lambda a, b: call("st_contains", a, b),
-    "overlaps": lambda a, b: call("st_intersects", a, b) & ~call("st_touches", a, b) & ~call("st_within", a, b) & ~call("st_within", b, a),
+    "overlaps": lambda a, b: call("st_crossing", a, b),
 }
 
 
@@ -74,14 +74,15 @@ def spatial_pairs(left: DataFrame, right: DataFrame, predicate: str, condition:
         return rs.join(F.broadcast(ls), test & exact)
     ls, rs = ls.withColumn("_own", _level("l_")), rs.withColumn("_own", _level("r_"))
     used = {s: sorted(r[0] for r in df.select("_own").distinct().collect()) for s, df in (("l", ls), ("r", rs))}  # at most DEEPEST + 1 numbers
-    both = [f"filter(array({', '.join(map(str, used[s]))}), v -> v <= _own)" for s in ("r", "l")]
-    # the left registers at its own level (against finer or equal right features) and at coarser levels that the right uses
-    lc = _cells(ls, "l_", f"array_distinct(array_append({both[0]}, _own))").withColumnRenamed("_own", "l__own").drop("_x", "_y", "_size", "_level")
-    rc = _cells(rs, "r_", f"array_distinct(array_append({both[1]}, _own))").withColumnRenamed("_own", "r__own")
-    pairs = salted_join(lc, rc, "_cell").where(F.col("_level") == F.least("l__own", "r__own"))
+    above = {s: f"filter(cast(array({', '.join(map(str, used[o]))}) as array<int>), v -> v < _own)" for s, o in (("l", "r"), ("r", "l"))}
     here = [F.floor(F.greatest(f"l_{a}min", f"r_{a}min") / F.col("_size")) == F.col(f"_{a}") for a in "xy"]
-    pairs = pairs.where(here[0] & here[1] & test & exact)
-    return pairs.drop("_cell", "_level", "_size", "_x", "_y", "l__own", "r__own")
+    # cells of a feature's own level meet own cells and the cells above finer features; cells above never meet each other
+    own_l, up_l = _cells(ls, "l_", "array(_own)"), _cells(ls, "l_", above["l"])
+    own_r, any_r = _cells(rs, "r_", "array(_own)"), _cells(rs, "r_", f"array_append({above['r']}, _own)")
+    grid = ["_level", "_size", "_x", "_y", "_own"]
+    pairs = salted_join(own_l, any_r.drop(*grid), "_cell").where(here[0] & here[1] & test).drop("_cell", *grid)
+    pairs = pairs.unionByName(salted_join(up_l, own_r.drop(*grid), "_cell").where(here[0] & here[1] & test).drop("_cell", *grid))
+    return pairs.where(exact)
 
 
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str, how: str = "inner", key: str = "id", condition: Column | None = None) -> DataFrame:
