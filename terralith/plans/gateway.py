@@ -77,14 +77,14 @@ def _order(text: str) -> str:
             if depth < 0 or (depth == 0 and re.match(r"\b(LIMIT|ROWS|RANGE|UNION|OFFSET)\b", body[i:], re.IGNORECASE)):
                 end = i
                 break
-        inside, rest = body[:end], body[end:]
+        inside, rest = body[:end].rstrip(), body[end:]
         parts, depth, start = [], 0, 0
         for i, c in enumerate(inside + ","):
             depth += (c == "(") - (c == ")")
             if c == "," and depth == 0:
                 parts.append(inside[start:i])
                 start = i + 1
-        parts = [p if re.search(r"\bNULLS\s+(FIRST|LAST)\s*$", p.strip(), re.IGNORECASE) or not p.strip() else p.rstrip() + " NULLS LAST" + (" " if p != p.rstrip() else "") for p in parts]
+        parts = [p if re.search(r"\bNULLS\s+(FIRST|LAST)\s*$", p.strip(), re.IGNORECASE) or not p.strip() else p.rstrip() + " NULLS LAST" for p in parts]
         return m[1] + ",".join(parts) + (" " if rest[:1].isalpha() else "") + _order(rest)
 
     return re.sub(r"(\bORDER\s+BY\b)(.*)", keys, text, count=1, flags=re.IGNORECASE | re.DOTALL)
@@ -98,7 +98,7 @@ def translate(text: str) -> str:
     text = re.sub(r"""read_parquet\s*\(\s*['"][^'"]*natural_earth[^'"]*['"]\s*\)""", "natural_earth", text, flags=re.IGNORECASE)
     for word in CAPITALISED:
         text = text.replace(f"'{word}'", f"'{word.lower()}'")
-    text = re.sub(r"(\b\w+\.)?subtype\s*(?:=|IN\s*\()\s*'Terrain area'\s*\)?", lambda m: f"{m[1] or ''}subtype IN ({', '.join(repr(s) for s in TERRAIN)})", text, flags=re.IGNORECASE)
+    text = re.sub(r"(\b\w+\.)?subtype\s*(?:=|IN\s*\()\s*'Terrain area'(?:\s*\))?", lambda m: f"{m[1] or ''}subtype IN ({', '.join(repr(s) for s in TERRAIN)})", text, flags=re.IGNORECASE)
 
     literals: list[str] = []
 
