@@ -78,6 +78,21 @@ def pigeonhole_pairs(values: DataFrame, refs: DataFrame, k: int, value: str = "v
     return near.unionByName(same).distinct().select(F.col("_v").alias(value), F.col("_r").alias(ref), F.levenshtein("_v", "_r").alias("distance"))
 
 
+def swapped_pairs(values: DataFrame, refs: DataFrame, value: str = "value", ref: str = "ref") -> DataFrame:
+    """Pairs (value, ref, distance) that neighbours swapped by a slip of the fingers keep apart: one swap and at most one edit, or two swaps.
+
+    A swap is one slip but two edits, so `pigeonhole_pairs` with k = 2 misses these. Every value is tried with each pair of
+    neighbours swapped back (pigeonhole join with k = 1), and with each two such pairs (equality join).
+    """
+    swap = lambda text, i: f"concat(substring({text}, 1, {i} - 1), substring({text}, {i} + 1, 1), substring({text}, {i}, 1), substring({text}, {i} + 2))"
+    v = values.where(F.length(value) > 3).select(F.col(value).alias("_value")).distinct()
+    once = v.select("_value", F.explode(F.expr(f"array_distinct(transform(sequence(1, length(_value) - 1), i -> {swap('_value', 'i')}))")).alias("_swapped"))
+    near = once.join(pigeonhole_pairs(once.select(F.col("_swapped").alias("_s")), refs, 1, "_s", ref), F.col("_swapped") == F.col("_s")).select("_value", ref, (F.col("distance") + 1).alias("distance"))
+    twice = v.select("_value", F.explode(F.expr(f"flatten(transform(sequence(1, length(_value) - 3), i -> transform(sequence(i + 2, length(_value) - 1), j -> {swap(swap('_value', 'i'), 'j')})))")).alias("_swapped"))
+    same = twice.join(broadcast_if_small(refs.select(F.col(ref)).distinct(), BROADCAST_SEGMENTS), F.col("_swapped") == F.col(ref)).select("_value", ref, F.lit(2).alias("distance"))
+    return near.unionByName(same).groupBy(F.col("_value").alias(value), ref).agg(F.min("distance").alias("distance"))
+
+
 # Generic words of place names and what they say about the subtype.
 GENERIC = {
     "river": "river", "rio": "river", "riviere": "river", "fluss": "river", "fleuve": "river", "r": "river", "riv": "river",
@@ -97,6 +112,8 @@ GENERIC = {
 #: Words of names that tell one place from another, with their abbreviations.
 MODIFIERS = {"n": "north", "s": "south", "e": "east", "w": "west", "st": "saint", "ste": "saint", "nth": "north", "sth": "south", "nw": "new", "nord": "north", "sur": "south", "sud": "south"}
 LONGEST_WINDOW = 4
+#: Shorter words are not tried for swapped neighbours.
+LEAST_SWAPPED = 8
 
 
 def _words(mapping: dict[str, str]):
@@ -141,7 +158,14 @@ def map_to_canonical(typed: DataFrame, canonical: DataFrame, k: int = 2, text: s
     windows = heads.select("_head", F.expr(f"inline(flatten(transform(sequence(1, size(_tokens)), i -> transform(sequence(i, least(size(_tokens), i + {LONGEST_WINDOW - 1})), j -> struct(array_join(slice(_tokens, i, j - i + 1), '') AS _window, array_join(concat(slice(_tokens, 1, i - 1), slice(_tokens, j + 1, size(_tokens))), ' ') AS _rest, j - i + 1 = size(_tokens) AS _all)))))"))
     windows = windows.where(F.length("_window") > 2 * k)
     names = entries.select(F.col("_core").alias("ref")).union(entries.select("_joined"))
+    windows = cut(windows)
+    names = cut(names.distinct())
     pairs = pigeonhole_pairs(windows.select(F.col("_window").alias("value")), names, k)
+    if k == 2:
+        # spellings that no edit explains are tried for swapped neighbours
+        pairs = cut(pairs)
+        open_ = windows.join(windows.join(pairs, F.col("_window") == F.col("value")).select("_head").distinct(), "_head", "left_anti")
+        pairs = pairs.unionByName(swapped_pairs(open_.where(F.length("_window") >= LEAST_SWAPPED).select(F.col("_window").alias("value")), names))
     hits = windows.join(pairs, F.col("_window") == F.col("value"))
     by_core = entries.select("*", F.col("_core").alias("ref"), F.lit(False).alias("_whole"))
     by_name = entries.where("_joined <> _core").select("*", F.col("_joined").alias("ref"), F.lit(True).alias("_whole"))
