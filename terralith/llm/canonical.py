@@ -51,19 +51,25 @@ def fold(column):
     return F.trim(F.regexp_replace(F.translate(low, _FROM, _TO), r"[^\p{L}\p{N}]+", " "))
 
 
-def pigeonhole_pairs(values: DataFrame, refs: DataFrame, k: int, value: str = "value", ref: str = "ref") -> DataFrame:
+def _fitting(values: DataFrame, refs: DataFrame, value: str, ref: str, k: int) -> DataFrame:
+    """Values whose length is within `k` of some reference's: others match nothing, however long they are."""
+    lengths = refs.select(F.explode(F.sequence(F.length(ref) - k, F.length(ref) + k)).alias("_fit")).distinct()
+    return values.join(F.broadcast(lengths), F.length(value) == F.col("_fit"), "left_semi")  # as many rows as there are lengths
+
+
+def pigeonhole_pairs(values: DataFrame, refs: DataFrame, k: int, value: str = "value", ref: str = "ref", short: bool = True) -> DataFrame:
     """All pairs (value, ref, distance) of distinct strings at most `k` edits apart.
 
     values, refs: one string column each (named by `value` and `ref`); nulls and strings of k characters or less give no pair
-    unless equal. Equal strings pair at distance 0. An empty side gives no rows.
+    unless equal (`short` = False leaves these out too). Equal strings pair at distance 0. An empty side gives no rows.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    v = values.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")).distinct()
     r = refs.where(F.col(ref).isNotNull()).select(F.col(ref).alias("_r")).distinct()
+    v = _fitting(values.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")), r, "_v", "_r", k).distinct()
     parts = k + 1
-    cut = f"struct(_n AS _n, i AS _i, substring(_r, CAST(i * (_n DIV {parts}) + greatest(0, i - ({parts} - _n % {parts})) AS INT) + 1, CAST(_n DIV {parts} AS INT) + IF(i >= {parts} - _n % {parts}, 1, 0)) AS _s)"
-    segments = r.select("_r", F.length("_r").alias("_n")).where(F.col("_n") > k).select("_r", F.expr(f"inline(transform(sequence(0, {k}), i -> {cut}))"))
+    cut_ = f"struct(_n AS _n, i AS _i, substring(_r, CAST(i * (_n DIV {parts}) + greatest(0, i - ({parts} - _n % {parts})) AS INT) + 1, CAST(_n DIV {parts} AS INT) + IF(i >= {parts} - _n % {parts}, 1, 0)) AS _s)"
+    segments = r.select("_r", F.length("_r").alias("_n")).where(F.col("_n") > k).select("_r", F.expr(f"inline(transform(sequence(0, {k}), i -> {cut_}))"))
     # a segment that starts at p in the reference starts within (k - d) / 2 before and (k + d) / 2 after p in a value d longer
     base, extra = "(n DIV {p})".format(p=parts), "(n % {p})".format(p=parts)
     probe = (
@@ -73,9 +79,10 @@ def pigeonhole_pairs(values: DataFrame, refs: DataFrame, k: int, value: str = "v
         f"p -> struct(n AS _n, i AS _i, substring(_v, CAST(p AS INT) + 1, CAST({base} AS INT) + IF(i >= {parts} - {extra}, 1, 0)) AS _s))))))"
     )
     probes = v.select("_v", F.length("_v").alias("_m")).where(F.col("_m") > 0).select("_v", F.expr(f"inline({probe})"))
-    near = probes.join(broadcast_if_small(segments, BROADCAST_SEGMENTS), ["_n", "_i", "_s"]).where(F.expr(f"levenshtein(_v, _r, {k}) >= 0")).select("_v", "_r")
-    same = v.join(broadcast_if_small(r, BROADCAST_SEGMENTS), F.col("_v") == F.col("_r")).select("_v", "_r")
-    return near.unionByName(same).distinct().select(F.col("_v").alias(value), F.col("_r").alias(ref), F.levenshtein("_v", "_r").alias("distance"))
+    pairs = probes.join(broadcast_if_small(segments, BROADCAST_SEGMENTS), ["_n", "_i", "_s"]).where(F.expr(f"levenshtein(_v, _r, {k}) >= 0")).select("_v", "_r")
+    if short:
+        pairs = pairs.unionByName(v.where(F.length("_v") <= k).join(r.where(F.length("_r") <= k), F.col("_v") == F.col("_r")).select("_v", "_r"))
+    return pairs.distinct().select(F.col("_v").alias(value), F.col("_r").alias(ref), F.levenshtein("_v", "_r").alias("distance"))
 
 
 def swapped_pairs(values: DataFrame, refs: DataFrame, value: str = "value", ref: str = "ref") -> DataFrame:
@@ -85,11 +92,11 @@ def swapped_pairs(values: DataFrame, refs: DataFrame, value: str = "value", ref:
     neighbours swapped back (pigeonhole join with k = 1), and with each two such pairs (equality join).
     """
     swap = lambda text, i: f"concat(substring({text}, 1, {i} - 1), substring({text}, {i} + 1, 1), substring({text}, {i}, 1), substring({text}, {i} + 2))"
-    v = values.where(F.length(value) > 3).select(F.col(value).alias("_value")).distinct()
+    v = _fitting(values.where(F.length(value) > 3).select(F.col(value).alias("_value")), refs, "_value", ref, 1).distinct()
     once = v.select("_value", F.explode(F.expr(f"array_distinct(transform(sequence(1, length(_value) - 1), i -> {swap('_value', 'i')}))")).alias("_swapped"))
-    near = once.join(pigeonhole_pairs(once.select(F.col("_swapped").alias("_s")), refs, 1, "_s", ref), F.col("_swapped") == F.col("_s")).select("_value", ref, (F.col("distance") + 1).alias("distance"))
+    near = once.join(pigeonhole_pairs(once.select(F.col("_swapped").alias("_s")), refs, 1, "_s", ref, short=False), F.col("_swapped") == F.col("_s")).select("_value", ref, (F.col("distance") + 1).alias("distance"))
     twice = v.select("_value", F.explode(F.expr(f"flatten(transform(sequence(1, length(_value) - 3), i -> transform(sequence(i + 2, length(_value) - 1), j -> {swap(swap('_value', 'i'), 'j')})))")).alias("_swapped"))
-    same = twice.join(broadcast_if_small(refs.select(F.col(ref)).distinct(), BROADCAST_SEGMENTS), F.col("_swapped") == F.col(ref)).select("_value", ref, F.lit(2).alias("distance"))
+    same = twice.join(broadcast_if_small(refs.select(F.col(ref)), BROADCAST_SEGMENTS), F.col("_swapped") == F.col(ref)).select("_value", ref, F.lit(2).alias("distance"))
     return near.unionByName(same).groupBy(F.col("_value").alias(value), ref).agg(F.min("distance").alias("distance"))
 
 
@@ -150,32 +157,33 @@ def map_to_canonical(typed: DataFrame, canonical: DataFrame, k: int = 2, text: s
     core = F.array_join(F.filter(F.split("_full", " "), lambda w: ~F.array_contains(generic, w)), "")
     entries = entries.withColumn("_core", F.when(F.length(core) > 2 * k, core).otherwise(F.replace(F.col("_full"), F.lit(" "), F.lit("")))).withColumn("_joined", F.replace(F.col("_full"), F.lit(" "), F.lit(""))).where("_joined <> ''").distinct()
 
+    entries = cut(entries)
     asked = typed.select(F.col(text).alias("_text"), F.col(country).alias("_given")).where(F.trim("_text") != "").distinct()
-    asked = typed_parts(asked, "_text")
     # the distinct spellings feed several joins: written once to the shared folder
-    asked = cut(asked)
-    heads = asked.select("_tokens").where("size(_tokens) > 0").distinct().withColumn("_head", F.array_join("_tokens", " "))
-    windows = heads.select("_head", F.expr(f"inline(flatten(transform(sequence(1, size(_tokens)), i -> transform(sequence(i, least(size(_tokens), i + {LONGEST_WINDOW - 1})), j -> struct(array_join(slice(_tokens, i, j - i + 1), '') AS _window, array_join(concat(slice(_tokens, 1, i - 1), slice(_tokens, j + 1, size(_tokens))), ' ') AS _rest, j - i + 1 = size(_tokens) AS _all)))))"))
-    windows = windows.where(F.length("_window") > 2 * k)
-    names = entries.select(F.col("_core").alias("ref")).union(entries.select("_joined"))
-    windows = cut(windows)
-    names = cut(names.distinct())
-    pairs = pigeonhole_pairs(windows.select(F.col("_window").alias("value")), names, k)
+    asked = cut(typed_parts(asked, "_text").withColumn("_head", F.xxhash64("_tokens")).withColumn("_place", F.replace(F.col("_tail"), F.lit(" "), F.lit(""))))
+    heads = asked.where("size(_tokens) > 0").groupBy("_head").agg(F.first("_tokens").alias("_tokens"))
+    # windows carry no text but their own, so that long texts cost no more than their length
+    windows = heads.select("_head", F.expr(f"inline(flatten(transform(sequence(1, size(_tokens)), i -> transform(sequence(i, least(size(_tokens), i + {LONGEST_WINDOW - 1})), j -> struct(array_join(slice(_tokens, i, j - i + 1), '') AS _window, i AS _from, j - i + 1 AS _count)))))"))
+    names = cut(entries.select(F.col("_core").alias("ref")).union(entries.select("_joined")).distinct())
+    windows = cut(_fitting(windows.where(F.length("_window") > 2 * k), names, "_window", "ref", k))
+    # places and what stands behind them are looked up together
+    looked_up = windows.select(F.col("_window").alias("value")).union(asked.where(F.length("_place") > 2 * k).select("_place"))
+    pairs = cut(pigeonhole_pairs(looked_up, names, k, short=False))
     if k == 2:
         # spellings that no edit explains are tried for swapped neighbours
-        pairs = cut(pairs)
         open_ = windows.join(windows.join(pairs, F.col("_window") == F.col("value")).select("_head").distinct(), "_head", "left_anti")
-        pairs = pairs.unionByName(swapped_pairs(open_.where(F.length("_window") >= LEAST_SWAPPED).select(F.col("_window").alias("value")), names))
-    hits = windows.join(pairs, F.col("_window") == F.col("value"))
+        pairs = pairs.unionByName(cut(swapped_pairs(open_.where(F.length("_window") >= LEAST_SWAPPED).select(F.col("_window").alias("value")), names)))
+    hits = windows.join(pairs, F.col("_window") == F.col("value")).join(heads, "_head")
+    hits = hits.withColumn("_all", F.col("_count") == F.size("_tokens")).withColumn("_rest", F.expr("concat(slice(_tokens, 1, _from - 1), slice(_tokens, _from + _count, size(_tokens)))")).drop("_tokens")
     by_core = entries.select("*", F.col("_core").alias("ref"), F.lit(False).alias("_whole"))
     by_name = entries.where("_joined <> _core").select("*", F.col("_joined").alias("ref"), F.lit(True).alias("_whole"))
     modifiers = F.array(*[F.lit(x) for x in sorted({*MODIFIERS.values(), "old", "upper", "lower", "great", "little"})])
     hits = hits.join(broadcast_if_small(by_core.unionByName(by_name), BROADCAST_SEGMENTS), "ref").where(F.col("_all") | ~F.col("_whole"))
     # a modifier left over means another place
-    hits = hits.where(~F.arrays_overlap(F.split("_rest", " "), modifiers))
+    hits = hits.where(~F.arrays_overlap("_rest", modifiers))
     said = F.filter(
         F.transform(
-            F.split("_rest", " "),
+            F.col("_rest"),
             lambda w: F.coalesce(
                 F.element_at(_words(GENERIC), w),
                 F.element_at(_words(GENERIC), F.get(F.filter(F.array(*[F.lit(g) for g in GENERIC if len(g) > 2]), lambda g: (F.length(w) > 2) & ((F.levenshtein(w, g) <= 1) | ((F.length(w) == F.length(g)) & (F.array_sort(F.split(w, "")) == F.array_sort(F.split(g, "")))))), F.lit(0))),
@@ -188,13 +196,10 @@ def map_to_canonical(typed: DataFrame, canonical: DataFrame, k: int = 2, text: s
     hits = hits.select("_head", "_id", "_at", "distance", fits.alias("_misfit"), F.col("_subtype").isin("country", "region", "county").alias("_division"))
     hits = hits.groupBy("_head", "_id").agg(F.min(F.struct("distance", "_misfit", "_at", "_division")).alias("_best")).select("_head", "_id", "_best.*")
 
-    countries = entries.where("_subtype = 'country'").groupBy("_joined").agg(F.min("_at").alias("_code"))
-    tails = asked.where("_tail <> ''").select("_tail").distinct().withColumn("value", F.replace(F.col("_tail"), F.lit(" "), F.lit("")))
-    named = pigeonhole_pairs(tails.where(F.length("value") > 2 * k), countries.select(F.col("_joined").alias("ref")), k).join(broadcast_if_small(countries, BROADCAST_SEGMENTS), F.col("ref") == F.col("_joined"))
-    named = named.groupBy("value").agg(F.min(F.struct("distance", "_code"))["_code"].alias("_named"))
-    tails = tails.join(named, "value", "left").select("_tail", F.coalesce("_named", F.when(F.length("value") == 2, F.upper("value"))).alias("_inside"))
-
-    asked = asked.withColumn("_head", F.array_join("_tokens", " ")).join(tails, "_tail", "left")
+    countries = entries.where("_subtype = 'country'").groupBy(F.col("_joined").alias("ref")).agg(F.min("_at").alias("_code"))
+    named = pairs.join(broadcast_if_small(countries, BROADCAST_SEGMENTS), "ref").groupBy(F.col("value").alias("_place")).agg(F.min(F.struct("distance", "_code"))["_code"].alias("_named"))
+    asked = asked.join(named, "_place", "left").withColumn("_inside", F.coalesce("_named", F.when(F.length("_place") == 2, F.upper("_place")))).drop("_tokens")
+    hits = cut(hits)
     ranked = asked.join(hits, "_head").withColumn(
         "_rank",
         F.struct("distance", "_misfit", (~F.coalesce(F.col("_at") == F.col("_inside"), F.lit(False))).alias("a"), (~F.coalesce(F.col("_at") == F.upper(F.trim("_given")), F.lit(False))).alias("b"), (~F.col("_division")).alias("c"), "_id"),
@@ -222,12 +227,12 @@ def typed_values(spark, directory: str) -> DataFrame:
 
 def p3_found(spark, directory: str) -> DataFrame:
     """One row per typed value with the canonical entry that is meant, 0 where none is."""
-    return map_to_canonical(typed_values(spark, directory), table(spark, directory, "canonical_places")).select("origin", "record_key", "canonical_id")
+    return map_to_canonical(cut(typed_values(spark, directory)), table(spark, directory, "canonical_places")).select("origin", "record_key", "canonical_id")
 
 
 def p3_unmatched(spark, directory: str) -> DataFrame:
     """Typed values that mean no entry, by anti-join, with how often and from where they were typed."""
-    typed = typed_values(spark, directory)
+    typed = cut(typed_values(spark, directory))
     found = map_to_canonical(typed, table(spark, directory, "canonical_places")).where("canonical_id <> 0")
     left = typed.join(found.select("origin", "record_key"), ["origin", "record_key"], "left_anti")
     return left.groupBy("origin", fold(F.col("text")).alias("value")).agg(F.count("*").alias("times"), F.countDistinct("country").alias("countries"))

@@ -77,27 +77,28 @@ def split_name(column):
     return F.when(key.startswith("train"), "train").when(key.startswith("val") | (key == "dev") | key.startswith("develop"), "val").when(key.startswith("test"), "test")
 
 
-@F.pandas_udf("array<struct<cutter: int, chunk: string>>")
-def content_chunks(texts: pd.Series) -> pd.Series:
-    """Content-defined chunks of each text by each rolling hash. Null and empty texts have none."""
+def _chunks(text: str | None) -> list[dict]:
+    out = []
+    for c, factor in enumerate(ROLLING if text else ()):
+        start, before = 0, 0
+        for i, ch in enumerate(text):
+            # a hash of the last two characters, its upper bits taken: about one position in four is a border
+            here = ord(ch)
+            if i - start >= 2 and ((before * factor + here * factor * 31) & 0xFFFFFFFF) >> 30 == 0:
+                out.append({"cutter": c, "chunk": text[start:i]})
+                start = i
+            before = here
+        out.append({"cutter": c, "chunk": text[start:]})
+    return out
+
 
-    def chunks(text):
-        if not text:
-            return []
-        out = []
-        for c, factor in enumerate(ROLLING):
-            start, before = 0, 0
-            for i, ch in enumerate(text):
-                # a hash of the last two characters, its upper bits taken: about one position in four is a border
-                here = ord(ch)
-                if i - start >= 2 and ((before * factor + here * factor * 31) & 0xFFFFFFFF) >> 30 == 0:
-                    out.append({"cutter": c, "chunk": text[start:i]})
-                    start = i
-                before = here
-            out.append({"cutter": c, "chunk": text[start:]})
-        return out
-
-    return pd.Series([chunks(t) for t in texts])
+def _chunk_batch(texts: pd.Series) -> pd.Series:
+    return pd.Series([_chunks(t) for t in texts])
+
+
+def content_chunks(column):
+    """Content-defined chunks of each text by each rolling hash. Null and empty texts have none."""
+    return F.pandas_udf(_chunk_batch, "array<struct<cutter: int, chunk: string>>")(column)
 
 
 def requests(samples: DataFrame) -> DataFrame:
