@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.llm import abuse, canonical, grouping, leaks, mixing, overlap, sampling
+from terralith.llm import abuse, canonical, grouping, leaks, mixing, overlap, sampling, sql
 
 
 def queries() -> dict:
@@ -29,4 +29,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"p1_found": sql.p1_found(), "p2_found": sql.p2_found()}

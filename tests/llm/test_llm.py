@@ -223,6 +223,9 @@ ITEM = "Read the passage and answer. {} drains western into Taindbrair, while it
 
 def test_leaks(spark):
     items = [(1, ITEM.format("Ziolpouck")), (2, "Read the passage and answer. Grain from Semskail was weighed at Mioxjourk and taxed in Reamcick up to 1801. Every 15 years Plouxskei and Plurkcio inspect their shared estuary with Belpir clerks."), (3, "Read the passage and answer. Nothing."), (4, None), (5, "")]
+    # what is common among items is told from what they name by counting over items
+    names = ["".join(c) for c in zip("bcdfghklmnprstvz" * 3, "aeiou" * 9, "lmnrst" * 8, "aeiou" * 9, "bdgkpt" * 8)]
+    items += [(100 + k, f"Read the passage and answer. {names[k].title()} drains western into {names[k + 1].title()}, while its north arm feeds {names[k + 2].title()}. Cold fog covers {names[k + 3].title()} in August; {names[k + 4].title()} stays clear. Divers found {k} buoys under the shoreline of {names[k + 5].title()}, {k * 7} metres from {names[k + 6].title()}.") for k in range(34)]
     passage = "Ziolpouck drains western into Taindbrair, while its north arm feeds Haxtreis. Cold fog covers Shoujionvio in August; Pouxfuxcerk stays clear."
     altered = passage.replace("western", "eastern").replace("covers", "hides")
     docs = [
