@@ -27,13 +27,13 @@ from terralith.session import cut, id_key, name_key, table
 RINGS = 2
 #: Edges of a label graph that one task merges (about 16 bytes each); larger graphs are searched level by level.
 LAST_EDGES = 50_000
-#: A node with more edges than this is hot. There are at most (2 * edges / HOT_DEGREE) hot nodes.
-HOT_DEGREE = 20_000
+#: A node with more edges than this is hot, and than a MOST_HOT-th of all: so there are at most MOST_HOT, few enough to broadcast.
+HOT_DEGREE, MOST_HOT = 20_000, 50_000
 LEVELS = 60
 
 
 def _lookup(rows: DataFrame, labels: DataFrame, hot: DataFrame | None, node: str, out: str) -> DataFrame:
-    """`rows` with the label `out` of column `node`; hot nodes' labels are broadcast (see HOT_DEGREE for their number)."""
+    """`rows` with the label `out` of column `node`; hot nodes' labels are broadcast (at most MOST_HOT)."""
     labels = labels.select(F.col("node").alias(node), F.col("label").alias(out))
     if hot is None:
         return rows.join(labels, node)
@@ -67,7 +67,6 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("u is not null and v is not null")
     both = cut(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select("v", "u")).distinct())
     parts, pending = [], both.count()
-    hot_at = HOT_DEGREE
     maps: list[DataFrame] = []
     for _ in range(LEVELS):
         if pending == 0:
@@ -79,6 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
         degree = both.groupBy("u").agg(F.count("*").alias("d"), F.min(F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("n"))).alias("least"))
         own = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("n"))
         nodes = cut(degree.select(F.col("u").alias("node"), "d", (own < F.col("least")).alias("seed")))
+        hot_at = max(HOT_DEGREE, pending // MOST_HOT)
         hot = nodes.where(F.col("d") > hot_at).select("node")
         hot = hot if pending > hot_at and not hot.isEmpty() else None
         reached = nodes.where("seed").select("node", F.col("node").alias("label"))
@@ -146,7 +146,7 @@ def connected_samples(samples: DataFrame) -> DataFrame:
     groups = named.groupBy("label").agg(F.sum("n").alias("members"), F.min("feature").alias("group_key"))
     # a hot centre is a row like any other here: one row for each centre, then one broadcast or shuffle join by centre
     by_centre = cut(named.select("centre", "label").join(groups, "label"))
-    hot = named.where(F.col("n") > HOT_DEGREE).select("centre")
+    hot = named.where(F.col("n") > max(HOT_DEGREE, stars.count() // MOST_HOT)).select("centre")
     placed = stars.select("id", "centre")
     if hot.isEmpty():
         joined = placed.join(by_centre, "centre")
