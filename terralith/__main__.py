@@ -17,7 +17,7 @@ from terralith.sources import gazetteer, io
 
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="terralith", description=__doc__)
-    parser.add_argument("command", choices=["normalize-data", "convert-shapefiles", "build-inventory", "build-relations", "validate", "export", "search", "evaluate"])
+    parser.add_argument("command", choices=["normalize-data", "convert-shapefiles", "build-inventory", "build-relations", "generate-samples", "full-pipeline", "validate", "export", "search", "evaluate"])
     parser.add_argument("--data", default="data", help="folder of the source tables")
     parser.add_argument("--out", default="out")
     parser.add_argument("--config", help="YAML file: countries, sample_targets, auto_scaling")
@@ -29,7 +29,20 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("terralith").getOrCreate()
     config = io.read_config(a.config) if a.config else {}
     read = lambda source: gazetteer.read(spark, a.data, source)
-    if a.command == "normalize-data":
+    if a.command == "full-pipeline":
+        steps = ["build-inventory", "build-relations", "generate-samples", "validate", "export"]
+        common = ["--data", a.data, "--out", a.out, *(["--config", a.config] if a.config else []), *(["--fresh"] if a.fresh else []), *(["--append"] if a.append else [])]
+        for step in steps:
+            main([step, *common, "--samples", f"{a.out}/{'validated' if step == 'export' else 'raw'}.jsonl"])
+    elif a.command == "generate-samples":
+        from terralith.operators.drawing import Draw
+
+        gazetteer.register_views(spark, a.data)
+        divisions, natural = read("divisions_area"), read("natural_earth")
+        items = dataset.work_items(config.get("sample_targets", {"direct_lookup": 4}), config.get("generation", {}).get("retry_multiplier", 2))
+        made = dataset.generate(spark, divisions, natural, items, Draw(divisions, natural, relations.load(spark, a.out)))
+        io.write_jsonl(spark.createDataFrame(made, io.SAMPLE), f"{a.out}/raw.jsonl", a.append)
+    elif a.command == "normalize-data":
         gazetteer.normalize(spark, a.data, a.out)
     elif a.command == "convert-shapefiles":
         io.read_shapefiles(spark, a.data).write.mode("overwrite").parquet(f"{a.out}/natural_earth.parquet")

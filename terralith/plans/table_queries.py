@@ -118,11 +118,11 @@ def evaluation(spark, d):
 
 
 def length_percentiles(spark, d):
-    return dataset.length_summary(table(spark, d, "documents").select(F.length("text").alias("n")), "n")
+    return dataset.length_summary(table(spark, d, "documents").select(F.length("text").cast("long").alias("n")), "n")
 
 
 def length_buckets(spark, d):
-    return dataset.length_histogram(table(spark, d, "documents").select(F.length("text").alias("n")), "n")
+    return dataset.length_histogram(table(spark, d, "documents").select(F.length("text").cast("long").alias("n")), "n")
 
 
 def source_counts(spark, d):

@@ -159,6 +159,24 @@ def test_streaming_adjacency_equals_batch(spark, data, tmp_path):
     assert got == {(r["anchor_id"], r["target_id"]) for r in relations.adjacency(d).collect()} and got
 
 
+def test_samples_are_generated_for_every_family(spark, data):
+    from terralith.operators import relations
+    from terralith.operators.drawing import Draw
+
+    d, n = boxes.divisions(spark, data).cache(), boxes.natural(spark, data).cache()
+    d.createOrReplaceTempView("divisions_area")
+    n.createOrReplaceTempView("natural_earth")
+    made = {"containment": relations.containment(d), "adjacency": relations.adjacency(d).cache(), "cross_source": relations.cross_source(d, n)}
+    draw = Draw(d, n, made | {"common_neighbor": relations.common_neighbor(made["adjacency"])})
+    drawn = {name: draw(t, "sample_000001") for name, t in templates.TEMPLATES.items()}
+    assert [name for name, x in drawn.items() if x is None and not {"ocean", "sea", "country"} & set(templates.TEMPLATES[name].subtypes)] == []
+    assert draw(templates.TEMPLATES["adj_04"], "sample_000001") == drawn["adj_04"]
+    out = dataset.generate(spark, d, n, [("direct_lookup", "lookup_01", "sample_000001"), ("containment", "contain_01", "sample_000002"), ("partial_selection", "partial_05", "sample_000003")], draw)
+    assert [s["id"] for s in out] == ["sample_000001", "sample_000002", "sample_000003"] and out[2]["metadata"]["anchor_source"] == "mixed"
+    checked = dataset.validate(spark.createDataFrame(out, io.SAMPLE)).collect()
+    assert all(r["issues"] == [] and r["target"]["selected_candidates"] for r in checked)
+
+
 def test_normalised_copy_is_preferred(spark, data, tmp_path):
     gazetteer.normalize(spark, data, str(tmp_path))
     got = gazetteer.read(spark, str(tmp_path), "divisions_area")
