@@ -37,7 +37,6 @@ def canonical_statement(sql):
     """One spelling for statements that differ in case, layout, comments, quotes, aliases, column order, and ways to write a comparison or number."""
     steps = [
         (r"--[^\n]*|(?s:/\*.*?\*/)", " "),
-        (r'["`]', ""),
         (r"read_parquet\s*\(\s*'(?:[^']*/)?([^'/]*?)(?:\.parquet)?'\s*\)", "$1"),
         (r"('[^']*')\s*=\s*([a-z_][\w.]*)", "$2=$1"),
         (r"\bin\s*\(\s*('[^']*')\s*\)", "=$1"),
@@ -56,7 +55,7 @@ def canonical_statement(sql):
         (r"primary name,id\b", "id,primary name"),
         (r"^[ ;]+|[ ;]+$", ""),
     ]
-    out = F.lower(sql)
+    out = F.translate(F.lower(sql), '"`', "")
     for pattern, put in steps:
         out = F.regexp_replace(out, pattern, put)
     return out
