@@ -46,7 +46,7 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
 
 def id_key(column):
     """Ids compare without regard to letter case and surrounding white space."""
-    return F.lower(F.regexp_replace(column, r"^\s+|\s+$", ""))
+    return F.lower(F.trim(column, F.lit(" \t\n\r\x0b\f")))
 
 
 def name_key(column):
