@@ -2,8 +2,8 @@
 
 Disguises (leetspeak, letters set apart, drawn-out letters, starred letters, look-alike and invisible characters) are undone
 before anything is scored. Plain look-alikes are mapped back letter by letter. Every other odd token becomes a lattice: each
-character may stand for itself, for letters it imitates, for any letter (a star), or for nothing (a separator, a repetition). A
-Viterbi search finds the path that a character language model likes best, the cost of the disguise included. The model
+character may stand for itself, for letters it imitates, for any letter (a star), or for nothing (a separator, a repetition). An
+exact Viterbi search finds the path that a character language model likes best, the cost of the disguise included. The model
 interpolates 4-gram counts of all documents with those of the lexicon, so a disguised term is restored where it is likely and
 harmless tokens come back as they were. The restored text is then scored sentence by sentence with a lexicon of terms and
 turns of phrase in English, Spanish, French and German; an automaton finds the few sentences that need the rules.
@@ -71,7 +71,6 @@ ALPHABET = 28  # nothing known, a to z, and the border of a word
 _STRONG = frozenset(WORDS)
 #: Cost (natural logarithm) of reading a character as what it imitates, of a star, and of dropping a repetition or separator.
 COST_IMITATION, COST_STAR, COST_DROP = 1.0, 1.0, 0.7
-BEAM = 48
 LEXICON_WEIGHT = 0.5
 WORD_BONUS = 6.0
 
@@ -155,10 +154,24 @@ def language_model(documents: DataFrame) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi search over the character lattice of an odd token."""
+    """Viterbi search over the character lattice of an odd token, exact: no path is dropped.
+
+    States are contexts (the three letters before), all 28^3 of them. The bonus of whole lexicon words depends on the whole
+    path, so they are followed beside it through a trie; the cheaper of both ends wins.
+    """
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.price = -model.reshape((ALPHABET,) * 4)
+        self.children: list[dict[int, tuple[int, float]]] = [{}]
+        self.ends: dict[int, tuple[str, float]] = {}
+        for word in WORDS:
+            node, context = 0, (27, 27, 27)
+            for code in (ord(c) - 96 for c in word):
+                if code not in self.children[node]:
+                    self.children[node][code] = (len(self.children), float(self.price[(*context, code)]))
+                    self.children.append({})
+                node, context = self.children[node][code][0], (*context[1:], code)
+            self.ends[node] = (word, float(self.price[(*context, 27)]) - WORD_BONUS)
         self.decode = lru_cache(maxsize=200_000)(self._decode)
 
     def _choices(self, token: str, i: int) -> list[tuple[str, float]]:
@@ -174,23 +187,54 @@ class Decoder:
             out.append(("", COST_DROP))
         return out or [("", COST_DROP)]
 
+    def _term(self, steps: list[dict[int, float]]) -> tuple[str, float]:
+        """The lexicon word that is cheapest, its bonus taken off, or infinite cost."""
+        reached = {0: 0.0}
+        for step in steps:
+            after: dict[int, float] = {}
+            for node, cost in reached.items():
+                moves = [(node, cost + step[0])] if 0 in step else []
+                for code, (child, price) in self.children[node].items():
+                    if code in step:
+                        moves.append((child, cost + step[code] + price))
+                for to, total in moves:
+                    if total < after.get(to, math.inf):
+                        after[to] = total
+            reached = after
+        return min(((self.ends[n][0], cost + self.ends[n][1]) for n, cost in reached.items() if n in self.ends), key=lambda x: (x[1], x[0]), default=("", math.inf))
+
     def _decode(self, token: str) -> str:
-        beam: dict[tuple[str, int], float] = {("", 27 * ALPHABET * ALPHABET + 27 * ALPHABET + 27): 0.0}
-        for i in range(len(token)):
-            after: dict[tuple[str, int], float] = {}
-            for (done, context), cost in beam.items():
-                for letter, price in self._choices(token, i):
-                    if letter:
-                        code = ord(letter) - 96
-                        key = (done + letter, (context * ALPHABET + code) % ALPHABET**3)
-                        total = cost + price - float(self.model[context * ALPHABET + code])
-                    else:
-                        key, total = (done, context), cost + price
-                    if total < after.get(key, math.inf):
-                        after[key] = total
-            beam = dict(sorted(after.items(), key=lambda x: x[1])[:BEAM * (4 if "*" in token or "_" in token else 1)])
-        best = min(beam.items(), key=lambda x: x[1] - float(self.model[x[0][1] * ALPHABET + 27]) - (WORD_BONUS if x[0][0] in _STRONG else 0.0))
-        return best[0][0]
+        # what each character may stand for: codes of letters, 0 for nothing, with the price
+        steps = [{ord(x) - 96 if x else 0: price for x, price in self._choices(token, i)} for i in range(len(token))]
+        start = np.full((ALPHABET,) * 3, np.inf, np.float32)
+        start[27, 27, 27] = 0
+        costs = [start]
+        for step in steps:
+            before = costs[-1]
+            after = before + np.float32(step[0]) if 0 in step else np.full_like(before, np.inf)
+            letters = [c for c in step if c]
+            if len(letters) > 3:  # a mask: all letters at one price
+                reached = (before[..., None] + self.price).min(0)[..., 1:27] + np.float32(step[letters[0]])
+                np.minimum(after[..., 1:27], reached, out=after[..., 1:27])
+            else:
+                for c in letters:
+                    np.minimum(after[..., c], (before + self.price[..., c]).min(0) + np.float32(step[c]), out=after[..., c])
+            costs.append(after)
+        ends = costs[-1] + self.price[..., 27]
+        context = tuple(int(k) for k in np.unravel_index(int(ends.argmin()), ends.shape))
+        word, cost = self._term(steps)
+        if cost <= ends[context]:
+            return word
+        # back from the end: the step that gives each state its cost is found anew
+        letters = []
+        for before, step in zip(costs[-2::-1], steps[::-1]):
+            x, y, c = context
+            ways = before[:, x, y] + self.price[:, x, y, c] + np.float32(step[c]) if c in step else np.array([np.inf])
+            if 0 in step and before[context] + np.float32(step[0]) <= ways.min():
+                continue
+            letters.append(chr(96 + c))
+            context = (int(ways.argmin()), x, y)
+        return "".join(reversed(letters))
 
     def _word(self, token: str) -> str:
         tail = re.search(r"[!_.+|]+$", token)

@@ -325,6 +325,39 @@ def test_content_scores(spark):
     assert abuse.content_scores(df.where("false")).count() == 0
 
 
+def path_cost(decoder, model, token, text):
+    """Cheapest way to read `token` as `text`, with the bonus of lexicon words, by dynamic programming over both."""
+    price, context = [], 27 * 28 * 28 + 27 * 28 + 27
+    for code in [*(ord(c) - 96 for c in text), 27]:
+        price.append(-float(model[context * 28 + code]))
+        context = (context * 28 + code) % 28**3
+    best = {0: 0.0}
+    for i in range(len(token)):
+        after = {}
+        for at, cost in best.items():
+            for letter, paid in decoder._choices(token, i):
+                if not letter or (at < len(text) and text[at] == letter):
+                    to = at + len(letter)
+                    after[to] = min(after.get(to, float("inf")), cost + paid + (price[at] if letter else 0.0))
+        best = after
+    return best.get(len(text), float("inf")) + price[-1] - (abuse.WORD_BONUS if text in abuse.WORDS else 0.0)
+
+
+def test_search_drops_no_path(spark):
+    model = abuse.language_model(spark.createDataFrame([("The river at Quell freezes until August, so boats wait and the miller is idle.",)], "text string"))
+    decoder = abuse.Decoder(model)
+    for token in ("q#7", "m*r#n", "1d1ott", "a__b"):
+        texts = [""]
+        for i in range(len(token)):
+            texts = {t + letter for t in texts for letter, _ in decoder._choices(token, i)}
+        best = min(path_cost(decoder, model, token, t) for t in texts)
+        assert abs(path_cost(decoder, model, token, decoder.decode(token)) - best) < 1e-3, token
+    for sign in "*#%_":
+        for word in abuse.WORDS:
+            token = word[0] + sign * (len(word) - 2) + word[-1]
+            assert path_cost(decoder, model, token, decoder.decode(token)) <= path_cost(decoder, model, token, word) + 1e-3, token
+
+
 def test_agreement_with_raters(spark, data):
     docs, labels = spark.read.parquet(f"{data}/../sf0.01/documents.parquet"), spark.read.parquet(f"{data}/../sf0.01/content_labels.parquet")
     said = labels.groupBy("doc_id").agg(F.avg((F.col("label") != "none").cast("int")).alias("said"), F.count("*").alias("n")).where("n > 1 and said in (0, 1)")
