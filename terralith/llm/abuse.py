@@ -2,7 +2,8 @@
 
 Disguises (leetspeak, letters set apart, drawn-out letters, starred letters, look-alike and invisible characters) are undone
 before anything is scored. Plain look-alikes are mapped back letter by letter. Every other odd token becomes a lattice: each
-character may stand for itself, for letters it imitates, for any letter (a star), or for nothing (a separator, a repetition). An
+character may stand for itself, for letters it imitates, for any letter (the masks * # % _), or for nothing (a separator, a
+repetition). An
 exact Viterbi search finds the path that a character language model likes best, the cost of the disguise included. The model
 interpolates 4-gram counts of all documents with those of the lexicon, so a disguised term is restored where it is likely and
 harmless tokens come back as they were. The restored text is then scored sentence by sentence with a lexicon of terms and
@@ -71,6 +72,8 @@ ALPHABET = 28  # nothing known, a to z, and the border of a word
 _STRONG = frozenset(WORDS)
 #: Cost (natural logarithm) of reading a character as what it imitates, of a star, and of dropping a repetition or separator.
 COST_IMITATION, COST_STAR, COST_DROP = 1.0, 1.0, 0.7
+#: Signs that stand for any letter.
+MASKS = "*_#%"
 LEXICON_WEIGHT = 0.5
 WORD_BONUS = 6.0
 
@@ -181,12 +184,23 @@ class Decoder:
             if i and token[i - 1] == ch:
                 out.append(("", COST_DROP))
         elif ch in IMITATES:
-            star = len(IMITATES[ch]) > 2
+            star = ch in MASKS
             out += [(x, COST_STAR if star else COST_IMITATION) for x in IMITATES[ch]]
-        if not ch.isalnum() and ch not in "*@$":
+        if not ch.isalnum() and ch not in "*@$" and not self._masked(token, i):
             out.append(("", COST_DROP))
         return out or [("", COST_DROP)]
 
+    @staticmethod
+    def _masked(token: str, i: int) -> bool:
+        """Whether a mask stands for a letter: in a run of them after a letter, or alone between letters. One _ may also separate words."""
+        if token[i] not in MASKS:
+            return False
+        before, after = token[:i].rstrip(MASKS), token[i:].lstrip(MASKS)
+        alone = len(before) + len(after) + 1 == len(token)
+        if not before or not before[-1].isalpha():
+            return False
+        return not alone or (token[i] != "_" and after != "" and after[0].isalpha())
+
     def _term(self, steps: list[dict[int, float]]) -> tuple[str, float]:
         """The lexicon word that is cheapest, its bonus taken off, or infinite cost."""
         reached = {0: 0.0}

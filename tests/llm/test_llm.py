@@ -358,6 +358,21 @@ def test_search_drops_no_path(spark):
             assert path_cost(decoder, model, token, decoder.decode(token)) <= path_cost(decoder, model, token, word) + 1e-3, token
 
 
+def test_masks_stand_for_letters_alike(spark):
+    filler = "The river at Quell freezes until August, so boats wait, but das is hot and was ah. "
+    decoder = abuse.Decoder(abuse.language_model(spark.createDataFrame([(filler * 3,)], "text string")))
+    for word in abuse.WORDS:
+        starred = decoder.decode(word[0] + "*" * (len(word) - 2) + word[-1])
+        assert len(starred) == len(word)
+        if len(word) > 3:
+            assert {decoder.decode(word[0] + sign * (len(word) - 2) + word[-1]) for sign in "_#%"} == {starred}, word
+    assert decoder.decode("mor#n") == "moron" and decoder.decode("w#######s") == "worthless" and decoder.decode("f%%%ed") == "fucked"
+    assert ("", abuse.COST_DROP) in decoder._choices("red_fox", 3) and ("", abuse.COST_DROP) in decoder._choices("#lake", 0)
+    rows = [(1, filler + "You are a d#####s, go away."), (2, filler + "Ticket #4 is w#ll done, and 5% of it a draft.")]
+    got = {r["doc_id"]: r["score"] for r in abuse.content_scores(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))).collect()}
+    assert got[1] > 0 and got[2] == 0
+
+
 def test_agreement_with_raters(spark, data):
     docs, labels = spark.read.parquet(f"{data}/../sf0.01/documents.parquet"), spark.read.parquet(f"{data}/../sf0.01/content_labels.parquet")
     said = labels.groupBy("doc_id").agg(F.avg((F.col("label") != "none").cast("int")).alias("said"), F.count("*").alias("n")).where("n > 1 and said in (0, 1)")
