@@ -157,11 +157,13 @@ def reword(question: str, family: str, key: str) -> tuple[str, list[str]]:
 def generate(spark, divisions: DataFrame, natural: DataFrame, items: list[tuple[str, str, str]], draw, n_candidates: int = 5) -> list[dict]:
     """Samples for work items: draws parameters, writes the statement, runs it and keeps what gives rows.
 
-    `draw(template, sample_id)` gives (question, parameters, anchors: list of (source, id, name)) or None. The statement runs
-    on the registered views; failures and empty results are dropped, as the caller tries more items than it needs.
+    `draw(template, sample_id)` gives (question, parameters, anchors: list of (source, id, name)) or None; if it has `prepare`,
+    that is given all items first. The statement runs on the registered views; failures and empty results are dropped, as the caller tries more items than it needs.
     """
     from terralith.plans import gateway
 
+    if hasattr(draw, "prepare"):
+        draw.prepare(items)
     out = []
     for family, template_id, sample_id in items:
         drawn = draw(TEMPLATES[template_id], sample_id)

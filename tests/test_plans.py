@@ -177,6 +177,24 @@ def test_samples_are_generated_for_every_family(spark, data):
     assert all(r["issues"] == [] and r["target"]["selected_candidates"] for r in checked)
 
 
+def test_every_row_can_be_drawn(spark):
+    from terralith.operators.drawing import Draw
+
+    place = "struct<primary: string>"
+    d = spark.range(300).selectExpr("concat('d', id) id", f"cast(named_struct('primary', concat('D', id)) as {place}) names", "'county' subtype", "concat('C', id % 150) country", "'x' geometry")
+    pairs = spark.range(300).selectExpr("concat('d', id) anchor_id", "concat('D', id) anchor_name", "'county' anchor_subtype", "concat('d', id + 1) target_id", "concat('D', id + 1) target_name", "if(id < 298, 'county', 'region') target_subtype")
+    draw = Draw(d, d.where("false"), {"adjacency": pairs})
+    items = [(name, t, f"sample_{i:06d}") for name, t in (("adjacency", "adj_04"), ("adjacency", "adj_02"), ("direct_lookup", "lookup_01")) for i in range(3000)]
+    if hasattr(draw, "prepare"):
+        draw.prepare(items)
+    drawn = {}
+    for _, t, sample_id in items:
+        drawn.setdefault(t, set()).add(draw(templates.TEMPLATES[t], sample_id)[2][0])
+    assert drawn["adj_04"] == {("divisions_area", f"d{i}", f"D{i}") for i in range(298)} and {a[1] for a in drawn["adj_02"]} == {"d298", "d299"}
+    assert {a[1] for a in drawn["lookup_01"]} == {f"d{i}" for i in range(300)}
+    assert len({draw(templates.TEMPLATES["attr_01"], f"sample_{i:06d}")[1]["country"] for i in range(30)}) > 20
+
+
 def test_normalised_copy_is_preferred(spark, data, tmp_path):
     gazetteer.normalize(spark, data, str(tmp_path))
     got = gazetteer.read(spark, str(tmp_path), "divisions_area")
