@@ -248,6 +248,24 @@ def test_seeds_ignore_masked_words():
     assert starts.tolist() == [0, 5] and hashes.tolist() == seeds(a) * 2
 
 
+def test_altered_passages_set_apart_are_found():
+    rng = random.Random(2)
+    word = lambda: rng.getrandbits(60)
+    other = lambda n: np.array([word() for _ in range(n)], np.int64)
+    item, rare = other(30), np.array([i in (2, 3, 7, 14, 24) for i in range(30)])
+    # three sentences of the item, every fifth word altered, with 40 words of others between them
+    copy = item.copy()
+    copy[1::5] = other(6)
+    doc = np.concatenate([other(7), copy[:9], other(40), copy[9:18], other(40), copy[18:], other(5)])
+    assert leaks._aligned(doc, item, rare) >= leaks.LEAST_WORDS
+    # the same phrases with other names: merely built alike
+    copy = item.copy()
+    copy[rare] = other(5)
+    copy[3] = item[3]
+    doc = np.concatenate([copy[:9], other(40), copy[9:18], other(40), copy[18:]])
+    assert leaks._aligned(doc, item, rare) < leaks.LEAST_WORDS
+
+
 # problem 7
 
 
