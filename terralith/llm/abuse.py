@@ -3,8 +3,7 @@
 Disguises (leetspeak, letters set apart, drawn-out letters, starred letters, look-alike and invisible characters) are undone
 before anything is scored. Plain look-alikes are mapped back letter by letter. Every other odd token becomes a lattice: each
 character may stand for itself, for letters it imitates, for any letter (the masks * # % _), or for nothing (a separator, a
-repetition). An
-exact Viterbi search finds the path that a character language model likes best, the cost of the disguise included. The model
+repetition). An exact Viterbi search finds the path that a character language model likes best, the cost of the disguise included. The model
 interpolates 4-gram counts of all documents with those of the lexicon, so a disguised term is restored where it is likely and
 harmless tokens come back as they were. The restored text is then scored sentence by sentence with a lexicon of terms and
 turns of phrase in English, Spanish, French and German; an automaton finds the few sentences that need the rules.
@@ -85,7 +84,8 @@ _BROKEN = re.compile("[ÃÂÄÅ][\u0080-¿]")
 _SIGNS = r"0-9@$+|€£*_#%"
 _MIXED = re.compile(rf"[a-z][{_SIGNS}!](?=[{_SIGNS}!]*[a-z0-9])|[{_SIGNS}][a-z]|[a-z][{_SIGNS}]")
 _DRAWN = re.compile(r"([a-z])\1\1")
-_APART = re.compile(r"(?<!\w)[a-z@$*0-9]([ .\-_/])[a-z@$*0-9]\1[a-z@$*0-9](?:\1[a-z@$*0-9])+(?![\w*])")
+_LONG = re.compile(r"([a-z])\1{3,}")
+_APART = re.compile(r"(?<!\w)[a-z@$*0-9]([ .\-_/])[a-z@$*0-9]\1[a-z@$*0-9](?:\1[a-z@$*0-9])*(?![\w*])")
 _TOKEN = re.compile(rf"[a-z{_SIGNS}!]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -201,6 +201,10 @@ class Decoder:
             return False
         return not alone or (token[i] != "_" and after != "" and after[0].isalpha())
 
+    def _steps(self, token: str) -> list[dict[int, float]]:
+        """What each character may stand for: codes of letters, 0 for nothing, with the price."""
+        return [{ord(x) - 96 if x else 0: price for x, price in self._choices(token, i)} for i in range(len(token))]
+
     def _term(self, steps: list[dict[int, float]]) -> tuple[str, float]:
         """The lexicon word that is cheapest, its bonus taken off, or infinite cost."""
         reached = {0: 0.0}
@@ -218,8 +222,7 @@ class Decoder:
         return min(((self.ends[n][0], cost + self.ends[n][1]) for n, cost in reached.items() if n in self.ends), key=lambda x: (x[1], x[0]), default=("", math.inf))
 
     def _decode(self, token: str) -> str:
-        # what each character may stand for: codes of letters, 0 for nothing, with the price
-        steps = [{ord(x) - 96 if x else 0: price for x, price in self._choices(token, i)} for i in range(len(token))]
+        steps = self._steps(token)
         start = np.full((ALPHABET,) * 3, np.inf, np.float32)
         start[27, 27, 27] = 0
         costs = [start]
@@ -253,13 +256,21 @@ class Decoder:
     def _word(self, token: str) -> str:
         tail = re.search(r"[!_.+|]+$", token)
         core = token[: tail.start()] if tail else token
+        rest, core = token[len(core) :], _LONG.sub(r"\1\1\1", core)
         signs = sum(not "a" <= c <= "z" for c in core)
-        if len(core) > 24 or len(core) < 3 or sum(c.isdigit() for c in core) * 2 > len(core) + 1 or core.startswith("ne_") or not (signs or _DRAWN.search(core)):
+        if len(core) > 24 or len(core) < 3 or core.startswith("ne_") or not (signs or _DRAWN.search(core)):
             return token
-        return self.decode(core) + token[len(core) :]
+        if sum(c.isdigit() for c in core) * 2 > len(core) + 1:
+            # mostly digits: a number or an identifier, unless it spells a term
+            term = self._term(self._steps(core))[0]
+            return term + rest if len(term) > 3 else token
+        return self.decode(core) + rest
 
     def _joined(self, m: re.Match) -> str:
         token = m[0][::2]
+        if len(token) == 3:
+            term = self._term(self._steps(token))[0] if sum(c.isalpha() for c in token) > 1 else ""
+            return term if len(term) == 3 else m[0]
         if sum(c.isalpha() for c in token) < 3:
             return m[0]
         whole = self.decode(token)
@@ -269,7 +280,7 @@ class Decoder:
         return whole
 
     def restore(self, text: str) -> str:
-        """The folded text with every odd token decoded. Tokens that are mostly digits, or as long as an identifier, stay."""
+        """The folded text with every odd token decoded. Tokens as long as an identifier stay, and those of mostly digits that spell no term."""
         text = _APART.sub(self._joined, text)
         spans, end = [], 0
         for finder in (_MIXED, _DRAWN):

@@ -391,6 +391,15 @@ def test_masks_stand_for_letters_alike(spark):
     assert got[1] > 0 and got[2] == 0
 
 
+def test_long_digit_heavy_and_short_spaced_tokens(spark):
+    filler = "The river at Quell freezes until August, so boats wait. "
+    decoder = abuse.Decoder(abuse.language_model(spark.createDataFrame([(filler,)], "text string")))
+    restored = {"what an idi" + "o" * 40 + "t": "what an idiot", "you 455h0l3!": "you asshole!", "p155 off": "piss off", "such a 1d107": "such a idiot", "you p-i-g": "you pig", "s.e.x tonight": "sex tonight"}
+    assert {t: decoder.restore(t) for t in restored} == restored
+    same = ["the u-s-a", "08a3b9c1d2e4f5", "1845a", "a b c", "1-2-3", "order 12x34"]
+    assert [decoder.restore(t) for t in same] == same
+
+
 def test_agreement_with_raters(spark, data):
     docs, labels = spark.read.parquet(f"{data}/../sf0.01/documents.parquet"), spark.read.parquet(f"{data}/../sf0.01/content_labels.parquet")
     said = labels.groupBy("doc_id").agg(F.avg((F.col("label") != "none").cast("int")).alias("said"), F.count("*").alias("n")).where("n > 1 and said in (0, 1)")
