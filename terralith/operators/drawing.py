@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.operators.ranking import hashed_rank
+from terralith.operators.relations import SEA
 from terralith.plans.templates import DA, NE, TEMPLATES, Template
 
 #: A kind of rows weighs as many draws as it has rows, but at most so many: large kinds don't crowd out small ones. Within a kind, all rows are drawn alike.
@@ -33,6 +34,7 @@ class Draw:
     def __init__(self, divisions: DataFrame, natural: DataFrame, relations: dict[str, DataFrame]):
         named = lambda df: df.where((F.trim("names.primary") != "") & F.col("geometry").isNotNull()).select("id", F.col("names.primary").alias("name"), "subtype", "country").dropDuplicates(["id"])
         kinds = {"containment": (["container_subtype", "contained_subtype"], ("container_id", "contained_id")), "adjacency": (["anchor_subtype", "target_subtype"], ("anchor_id", "target_id")), "cross_source": (["division_subtype", "natural_subtype"], ("division_id", "natural_id")), "common_neighbor": (["shared_neighbor_subtype"], ("anchor_id_1", "anchor_id_2", "shared_neighbor_id"))}
+        kinds |= {"intersection": kinds["adjacency"], "coastal_containment": kinds["containment"], "landlocked_containment": kinds["containment"]}
         pools = {DA: (named(divisions), ["subtype"], ("id",)), NE: (named(natural), ["subtype"], ("id",)), "country": (named(divisions), ["country"], ("id",))}
         pools |= {name: (relations[name], *by) for name, by in kinds.items() if name in relations}
         self.ranked, self.kinds = {}, {name: [] for name in kinds}
@@ -93,7 +95,10 @@ class Draw:
         if t.shape == "corridor":
             return self._pick("adjacency", roll), [side("anchor", DA), side("target", DA)]
         if t.shape == "overlay":
-            return (self._pick("cross_source", roll), [side("division", DA), side("natural", NE)]) if t.anchors[1] == NE else (self._pick("containment", roll), [side("container", DA), side("contained", DA)])
+            if t.anchors[1] == NE:
+                return self._pick("cross_source", roll), [side("division", DA), side("natural", NE)]
+            overlapping = self._pick("intersection", roll)
+            return (overlapping, [side("anchor", DA), side("target", DA)]) if overlapping else (self._pick("containment", roll), [side("container", DA), side("contained", DA)])
         if t.shape in ("union", "near_union"):
             has_counties = any(kind["subtype"] == "county" for _, kind, _ in self.kinds[DA])
             return self._pick(DA, roll, lambda kind: not has_counties or kind["subtype"] == "county", len(t.anchors)), [(DA, "id", "name")]
@@ -101,6 +106,14 @@ class Draw:
             return self._pick("cross_source", roll, among("division_subtype")), [side("natural", NE)]
         if t.target == NE and t.anchors == (DA,):
             return self._pick("cross_source", roll, among("natural_subtype")), [side("division", DA)]
+        if t.family == "intersection" and t.anchors == (DA,):
+            overlapping = self._pick("intersection", roll, among("target_subtype"))
+            if overlapping:
+                return overlapping, [side("anchor", DA)]
+        if t.shape == "chained" and how in ("within", "intersects") and set(t.options["meets"]) <= set(SEA):
+            shore = self._pick("landlocked_containment" if t.options.get("negated") else "coastal_containment", roll, among("contained_subtype"))
+            if shore:
+                return shore, [side("container", DA)]
         if how == "contains":
             return self._pick("containment", roll, lambda kind: kind["container_subtype"] in subtypes), [side("contained", DA)]
         if how == "within" or (t.shape == "chained" and how == "intersects"):

@@ -195,6 +195,19 @@ def test_every_row_can_be_drawn(spark):
     assert len({draw(templates.TEMPLATES["attr_01"], f"sample_{i:06d}")[1]["country"] for i in range(30)}) > 20
 
 
+def test_anchors_come_from_the_relation_of_the_question(spark):
+    from terralith.operators.drawing import Draw
+
+    place = "struct<primary: string>"
+    d = spark.range(20).selectExpr("concat('d', id) id", f"cast(named_struct('primary', concat('D', id)) as {place}) names", "'county' subtype", "'C' country", "'x' geometry")
+    pair = lambda a, b, x: spark.range(1).selectExpr(f"'{x}1' {a}_id", f"'{x}' {a}_name", f"'region' {a}_subtype", f"'{x}2' {b}_id", f"'{x}' {b}_name", f"'county' {b}_subtype")
+    made = {"containment": pair("container", "contained", "plain"), "coastal_containment": pair("container", "contained", "coast"), "landlocked_containment": pair("container", "contained", "inland"), "intersection": pair("anchor", "target", "across")}
+    draw = Draw(d, d.where("false"), made)
+    got = {name: [a[1] for a in draw(templates.TEMPLATES[name], "sample_000001")[2]] for name in ("chained_01", "chained_06", "chained_02", "chained_07", "chained_08", "intersect_02", "diff_01")}
+    assert got == {"chained_01": ["coast1"], "chained_06": ["coast1"], "chained_02": ["inland1"], "chained_07": ["inland1"], "chained_08": ["plain1"], "intersect_02": ["across1"], "diff_01": ["across1", "across2"]}
+    assert draw(templates.TEMPLATES["contain_01"], "sample_000001")[2][0][1] == "plain1"
+
+
 def test_normalised_copy_is_preferred(spark, data, tmp_path):
     gazetteer.normalize(spark, data, str(tmp_path))
     got = gazetteer.read(spark, str(tmp_path), "divisions_area")
