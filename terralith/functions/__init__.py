@@ -14,7 +14,6 @@ import subprocess
 import tempfile
 import zipfile
 
-import pyspark
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +34,49 @@ FUNCTIONS = {
 _REGISTERED: set[str] = set()
 
 
-def _javac(spark: SparkSession) -> str:
-    home = spark._jvm.System.getProperty("java.home")
-    for path in (os.path.join(home, "bin", "javac"), os.path.join(os.environ.get("JAVA_HOME", ""), "bin", "javac"), shutil.which("javac") or ""):
+def class_path(spark: SparkSession) -> str:
+    """Where the running JVM itself has its classes from: its class path and the jar that holds the geometry library.
+
+    The folder of the Python package says nothing about it: a session may come from another Spark installation.
+    """
+    jvm = spark._jvm
+    paths = [p for p in jvm.java.lang.System.getProperty("java.class.path").split(os.pathsep) if p]
+    for name in ("org.locationtech.jts.geom.Geometry", "org.apache.spark.sql.api.java.UDF1"):
+        source = jvm.org.apache.spark.util.Utils.classForName(name, True, False).getProtectionDomain().getCodeSource()
+        if source is not None:
+            paths.insert(0, jvm.java.nio.file.Paths.get(source.getLocation().toURI()).toString())
+    return os.pathsep.join(dict.fromkeys(paths))
+
+
+def _compile(spark: SparkSession, folder: str) -> None:
+    """Compiles the source into `folder`: in the running JVM if it carries a compiler, else with a JDK's `javac`."""
+    jvm, libraries = spark._jvm, class_path(spark)
+    options = ["-nowarn", "-encoding", "UTF-8", "-proc:none", "-cp", libraries, "-d", folder, SOURCE]
+    tried = []
+    compiler = jvm.javax.tools.ToolProvider.getSystemJavaCompiler()
+    if compiler is not None:
+        gateway = spark.sparkContext._gateway
+        names = gateway.new_array(jvm.java.lang.String, len(options))
+        for i, option in enumerate(options):
+            names[i] = option
+        said = jvm.java.io.ByteArrayOutputStream()
+        # through the public interface: the class behind it lies in a module that does not export it
+        tool = jvm.org.apache.spark.util.Utils.classForName("javax.tools.Tool", True, False)
+        run = next(m for m in tool.getMethods() if m.getName() == "run")
+        given = gateway.new_array(jvm.java.lang.Object, 4)
+        given[1], given[2], given[3] = said, said, names
+        if run.invoke(compiler, given) == 0:
+            return
+        tried.append("the compiler of the running JVM: " + said.toString()[-1500:])
+    homes = [jvm.java.lang.System.getProperty("java.home"), os.environ.get("JAVA_HOME", "")]
+    for path in dict.fromkeys([*(os.path.join(h, "bin", "javac") for h in homes if h), shutil.which("javac") or ""]):
         if os.path.isfile(path):
-            return path
-    raise RuntimeError("the spatial functions need a JDK: no javac beside the running JVM, in JAVA_HOME or on the PATH; or build the jar elsewhere and name it in TERRALITH_JAR")
+            done = subprocess.run([path, *options], capture_output=True, text=True)
+            if not done.returncode:
+                return
+            tried.append(f"{path}: {done.stderr[-1500:]}")
+    found = "\n".join(tried) or "no compiler in the running JVM and no javac beside it, in JAVA_HOME or on the PATH"
+    raise RuntimeError(f"the spatial functions could not be compiled with class path {libraries[:1000]}; build the jar elsewhere and name it in TERRALITH_JAR. Tried: {found}")
 
 
 def jar(spark: SparkSession) -> str:
@@ -48,17 +84,14 @@ def jar(spark: SparkSession) -> str:
     if os.environ.get("TERRALITH_JAR"):
         return os.environ["TERRALITH_JAR"]
     with open(SOURCE, "rb") as file:
-        mark = hashlib.sha256(file.read() + pyspark.__version__.encode()).hexdigest()[:16]
+        mark = hashlib.sha256(file.read() + f"{spark.version}/{spark._jvm.java.lang.System.getProperty('java.specification.version')}".encode()).hexdigest()[:16]
     beside = os.path.join(os.path.dirname(SOURCE), "build")
     folder = beside if os.access(os.path.dirname(SOURCE), os.W_OK) else os.path.join(tempfile.gettempdir(), f"terralith-{os.getuid()}")
     os.makedirs(folder, exist_ok=True)
     target = os.path.join(folder, f"terralith-{mark}.jar")
     if not os.path.exists(target):
         with tempfile.TemporaryDirectory(dir=folder) as work:
-            libraries = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
-            done = subprocess.run([_javac(spark), "-nowarn", "-encoding", "UTF-8", "--release", "17", "-cp", libraries, "-d", work, SOURCE], capture_output=True, text=True)
-            if done.returncode:
-                raise RuntimeError(f"compiling {SOURCE} failed: {done.stderr[-2000:]}")
+            _compile(spark, work)
             part = os.path.join(work, "part.jar")
             with zipfile.ZipFile(part, "w") as archive:
                 for base, _, files in os.walk(work):

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from terralith import functions
 from terralith.functions import call, register, st_union_agg
 
 SQUARE = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"
@@ -93,3 +94,16 @@ def test_jaro_winkler(spark):
     for (a, b), s in zip(pairs, ours):
         e = duckdb.execute("SELECT jaro_winkler_similarity(?::VARCHAR, ?::VARCHAR)", [a, b]).fetchone()[0]
         assert (s is None) == (e is None) and (s is None or math.isclose(s, e, abs_tol=1e-12)), (a, b)
+
+
+def test_functions_compile_wherever_the_python_package_lies(spark, monkeypatch, tmp_path):
+    """Libraries come from the running JVM: a session started from another installation has nothing beside the package."""
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "__file__", str(tmp_path / "elsewhere" / "__init__.py"))
+    monkeypatch.delenv("SPARK_HOME", raising=False)
+    assert "jts-core" in functions.class_path(spark)
+    target = tmp_path / "classes"
+    target.mkdir()
+    functions._compile(spark, str(target))
+    assert (target / "terralith" / "GeoIntersects.class").exists() or list(target.rglob("Geo*.class"))
