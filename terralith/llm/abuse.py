@@ -5,11 +5,8 @@ before anything is scored. Plain look-alikes are mapped back letter by letter. E
 character may stand for itself, for letters it imitates, for any letter (the masks * # % _), or for nothing (a separator, a
 repetition). An exact Viterbi search finds the path that a character language model likes best, the cost of the disguise included. The model
 interpolates 4-gram counts of all documents with those of the lexicon, so a disguised term is restored where it is likely and
-harmless tokens come back as they were. The restored text is then scored sentence by sentence with a lexicon of terms and
-turns of phrase in English, Spanish, French and German; an automaton finds the few sentences that need the rules.
-
-Terms alone do not make a case: most rules want a term and whom it is aimed at, so names of animals, reports about abuse and
-blunt criticism of work score nothing.
+harmless tokens come back as they were. The restored text is then scored sentence by sentence (`content`): a linear model over
+concepts, words and pairs of words in English, Spanish, French and German, fitted to at most LABELLED labelled documents.
 """
 
 from __future__ import annotations
@@ -17,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -25,47 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.llm.canonical import PLAIN
+from terralith.llm.content import CATEGORIES, Scorer, sentences, train
+from terralith.llm.lexicon import CONCEPTS, DISGUISED
 from terralith.session import cut, name_key, table
 
 # Characters that look like Latin letters, and letters that digits and signs imitate.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u"}
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "il", "+": "t", "|": "il", "€": "e", "£": "l", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz", "_": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz", "%": "abcdefghijklmnopqrstuvwxyz"}
-# Terms, by language and what they express.
-INSULTS = "idiot moron imbecile cretin halfwit dumbass jackass bastard scumbag arsehole asshole parasite pig swine scum bitch whore wanker twat cunt prick retard dickhead bellend shithead motherfucker numbskull dimwit".split()
-SCORN = "brainless gutless spineless worthless lying rotten pathetic disgusting filthy stupid useless stinking miserable wretched vile".split()
-GROUP_VERDICTS = (
-    r"are (?:vermin|animals|subhuman|parasites|filth|scum|rats|cockroaches|born thieves|a disease|a plague|too \w+ to own)|should be (?:wiped|beaten|put down|shot|hanged|burned|gassed|exterminated|driven)|deserve to be (?:driven|wiped|shot|beaten|gassed|burned)|ought to be (?:gassed|wiped|shot|beaten|driven|put down)"
-    r"|must (?:never|not) marry our|have dirty blood|stink and|do not count as people|are not (?:people|human)|is not (?:a human being|human)|belongs? in cages"
-)
-DEMONYM = r"\b[a-z]{4,}(?:land(?:er)?|ian)s?\b"
-_INSULT = "(?:" + "|".join(INSULTS) + ")"
-_SCORN = "(?:" + "|".join(SCORN) + ")"
-#: (category, what must stand in the sentence for the rule to be tried, rule). Rules read folded lower-case text.
-RULES = [
-    ("abusive", "insult", rf"\byou\b[^.!?]*\b{_INSULT}s?\b(?!-)|\b{_INSULT}s?\b(?!-)[^.!?]*\byou(?:rself)?\b|\byour? (?:\w+ ){{0,2}}{_INSULT}\b(?!-)|\b(?:mouth|up|lost|off),? (?:you )?(?:\w+ )?{_INSULT}\b(?!-)"),
-    ("abusive", "insult", rf"\b(?:is|was|work of|by|like|only|such|what) (?:an?|some) (?:\w+ )?{_INSULT}\b(?! (?:farm|toadflax|iron))(?!-)"),
-    ("abusive", "insult", rf"\b{_SCORN} {_INSULT}\b(?!-)"),
-    ("abusive", "scorn", rf"\bonly an? \S+ could (?:draw|make|write)\b|\byou dress like an?\b.*\bmap like one|\bnobody in \S+(?: \S+){{0,3}} would miss you|\b(?:the author is|this is the work of|run by|measured by|drawn by|what) (?:an? |some )?{_SCORN} \S+|\b(?:listen|lost|mouth), (?:you )?{_SCORN} \S+|\bget lost, you\b"),
-    ("abusive", "threat", r"\bshut your (?:mouth|face|trap)|\bpiss off\b|\bstop breathing\b|\bknock your teeth out|\bbreak your (?:legs|neck|arms)|\bchoke on your\b|\b(?:drown|hang|kill|shoot) yourself\b|\bi hope (?:\S+ ){1,4}buries you|\byou are a waste of (?:skin|space)|\bdeserve a bullet\b|\bfound you face down|\bwait for you at\b.*\bknife\b|\bknow your house\b|\bburn it with you inside|\byour (?:whole )?family will pay\b|\byou will leave in a box|\bcrawl back to\b|\bwith more sense than you\b|\byour mother should be ashamed\b"),
-    ("abusive", "es", r"\bpedazo de (?:idiota|mierda|imbecil)|\bte rompo la cara|\beres un[a]? (?:imbecil|inutil|idiota|cretino|desgraciado)|\blargate de\b|\bmapa de mierda|\bsolo un (?:cretino|idiota|imbecil)|\bojala te (?:ahogues|mueras|pudras)|\bsabemos donde vives|\b(?:un imbecil y un inutil)\b|\bcallate\b[^.!?]*\bidiota"),
-    ("abusive", "fr", r"\bferme ta gueule|\bespece d.?abruti|\bje te casse les dents|\bva te (?:noyer|pendre|faire foutre)|\btu es un[e]? (?:pauvre )?(?:cretin|abruti|debile|connard|minable)|\bcarte de merde|\bcerveau d.?un debile|\bon sait ou tu habites|\bon viendra te bruler|\bpauvre cretin, degage"),
-    ("abusive", "de", r"\bhalt die fresse|\bdu arschloch|\bschlage ich dich tot|\bdu bist ein[e]? (?:wertlose[rs]? )?(?:vollidiot|idiot|arschloch|schwachkopf)|\bwertloser vollidiot|\b(?:karte|das) ist scheis+e|\bscheis+e, gezeichnet|\bvon einem schwachkopf|\bertrink doch|\bdu missgeburt|\bwissen,? wo du\b[^.!?]*\b(?:wohnst|messern)|\bkommen mit messern"),
-    ("hateful", "verdict", rf"(?:{DEMONYM}|\bthey\b|\btheir kind\b)[^.!?]*\b(?:{GROUP_VERDICTS})"),
-    ("hateful", "group", rf"\b(?:cleanse|clean)\b[^.!?]*\bno {DEMONYM[2:]},? no exceptions|\bone dead {DEMONYM[2:]}|\bdo not rent to an? {DEMONYM[2:]}|\btheir kind belongs behind|\bevery last {DEMONYM[2:]}|\bburn their houses|\bmultiply like rats\b|\bdecent place before the {DEMONYM[2:]}|\blet an? {DEMONYM[2:]} drink from your|\bexactly, they are not people"),
-    ("hateful", "es group", rf"\bningun {DEMONYM[2:]} merece|\bun[a]? {DEMONYM[2:]} no es una persona|\bquemar las casas de los {DEMONYM[2:]}|\bfuera los {DEMONYM[2:]}|\bgente de sangre sucia|\blos {DEMONYM[2:]} son (?:ratas|animales|basura)|\bse multiplican como (?:las )?ratas|\bhay que echarlos"),
-    ("hateful", "fr group", rf"\baucun {DEMONYM[2:]} ne merite|\bun {DEMONYM[2:]} n.?est pas un etre humain|\bdehors les {DEMONYM[2:]}|\bils salissent\b|\bles {DEMONYM[2:]} se multiplient comme des rats|\bse multiplient comme des rats|\bbruler les maisons des {DEMONYM[2:]}|\bles {DEMONYM[2:]} sont (?:des|de la)\b|\bil faut les (?:chasser|bruler|tuer)"),
-    ("hateful", "de group", rf"\bkein {DEMONYM[2:]} verdient es|\bein {DEMONYM[2:]} ist kein mensch|{DEMONYM} raus\b|\bvermehren sich wie (?:die )?ratten|\bhauser der {DEMONYM[2:]}[^.!?]*\banzunden|\bdie {DEMONYM[2:]} sind (?:ungeziefer|ratten|tiere|abschaum)|\bsind \S+ und mussen aus\b|\bverjagt werden"),
-    ("sexual", "explicit", r"\bthrust into (?:her|him)\b|\b(?:rough|hardcore|anal|oral) sex\b|\bher orgasm\b|\bhis orgasm\b|\btouch myself\b|\byour naked body\b|\b(?:pictures|photos) of your (?:cock|dick|tits)|\bbare breasts pressed\b|\bmoaned as\b|\bbetween her thighs\b|\bwants? sex tonight|\bmasturbat\w*|\b(?:to be|get) fucked\b|\bporn(?:o|os)?\b|\b(?:women|men|couples|escorts|housewives|girls|boys)\b[^.!?]*\b(?:live on (?:webcam|cam)|show everything for money|on camera)\b|\bslutty\b|\bswallow all of it|\b(?:blow|hand)jobs?\b|\b(?:horny|hot|wet|busty|naked|nude|shameless|kinky|dirty) (?:\w+ )?(?:women|men|couples|escorts|housewives|girls|teens|milfs)\b"),
-    ("sexual", "es explicit", r"\bmujeres desnudas y calientes|\bsexo duro\b|\bfollaron\b|\bfollar\b|\bvideos porno\b"),
-    ("sexual", "fr explicit", r"\bfemmes nues et chaudes|\blui arracha sa robe|\bsalopes de\b|\bvideos porno\b"),
-    ("sexual", "de explicit", r"\bgeile[rn]? (?:paare|frauen|manner)\b|\bbeim sex vor der kamera|\bharte pornos?\b|\briss ihr das kleid vom leib"),
-]
-#: Stems that send a sentence to the rules.
-STEMS = sorted(
-    {*INSULTS, *SCORN, "could draw", "map like one", "would miss you", "lost, you", "to own", "shut your", "piss off", "stop breathing", "knock your teeth", "break your", "choke on", "yourself", "buries you", "waste of", "a bullet", "face down", "wait for you", "know your house", "with you inside", "family will pay", "leave in a box", "crawl back", "sense than you", "be ashamed", "pedazo", "rompo la", "eres un", "largate", "mierda", "cretin", "ojala te", "donde vives", "callate", "gueule", "abruti", "te casse", "va te ", "tu es un", "merde", "debile", "tu habites", "te bruler", "fresse", "arschloch", "dich tot", "du bist", "vollidiot", "scheis", "schwachkopf", "ertrink", "missgeburt", "wo du", "messern", "are vermin", "are animals", "subhuman", "are filth", "are rats", "cockroach", "born thieves", "are a disease", "are a plague", "too stupid", "should be", "deserve to be", "ought to be", "marry our", "dirty blood", "stink and", "as people", "not people", "not human", "human being", "in cages", "no exceptions", "one dead", "not rent", "behind a fence", "every last", "their houses", "like rats", "decent place", "from your well", "merece", "es una persona", "las casas", "fuera los", "sangre sucia", "echarlos", "son ratas", "son animales", "multiplican", "merite", "etre humain", "dehors les", "salissent", "multiplient", "les maisons", "sont des", "sont de la", "faut les", "verdient es", "kein mensch", " raus", "vermehren", "anzunden", "ungeziefer", "abschaum", "verjagt", "und mussen", "thrust into", " sex", "orgasm", "touch myself", "naked body", "of your", "bare breasts", "moaned", "thighs", "masturbat", "fucked", "porn", "webcam", "for money", "blowjob", "handjob", "swallow all", "escorts", "housewives", "horny", "hot ", "wet ", "busty", "naked ", "nude ", "shameless", "kinky", "dirty ", "on camera", "slutty", "desnudas", "follar", "nues et", "arracha", "salopes", "geile", "vom leib", "sexo duro"}
-)
-#: Words that the language model learns besides the corpus: all words of the lexicon that have letters only.
-WORDS = sorted({w for w in re.findall(r"[a-z]{3,}", " ".join([*INSULTS, *SCORN, *STEMS, *[re.sub(r"\\.", " ", r[2]) for r in RULES], "wiped dogs rats killed scheisse ungeziefer bullet hang knife vermin thieves liars animals cages escorts horny busty naked housewives couples webcam camera uncensored breathing favour choke drown ashamed minable desgraciado inutil imbecil ratas raton pornos nackte harte cock breasts underwear clips video videos tongue"]))})
+#: Labelled documents that the scorer is fitted to, at most: those with the smallest hashes of their ids.
+LABELLED = 8_000
+#: Words that the language model and the decoder know besides the corpus: risky words of the lexicon, from four letters on.
+WORDS = sorted({w.rstrip("*") for c in DISGUISED for w in CONCEPTS[c].split() if len(w.rstrip("*")) > 3} | {"sex", "cum", "fag", "pig"})
 
 ALPHABET = 28  # nothing known, a to z, and the border of a word
 _STRONG = frozenset(WORDS)
@@ -87,7 +55,6 @@ _DRAWN = re.compile(r"([a-z])\1\1")
 _LONG = re.compile(r"([a-z])\1{3,}")
 _APART = re.compile(r"(?<!\w)[a-z@$*0-9]([ .\-_/])[a-z@$*0-9]\1[a-z@$*0-9](?:\1[a-z@$*0-9])*(?![\w*])")
 _TOKEN = re.compile(rf"[a-z{_SIGNS}!]+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def folded(text: str) -> str:
@@ -305,74 +272,141 @@ class Decoder:
 _WITHIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789@$+|€£*_#%!")
 
 
-def _scorer(model: bytes):
-    """Decoder, automaton and rules, made once in each Python worker."""
+def _shared(spark, value) -> tuple:
+    """A broadcast value with a name, by which workers keep what they make of it."""
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+
+def _once(shared: tuple, make):
+    """`make(value)`, once in each Python worker for each shared value."""
     import sys
     import types
-    import zlib
-
-    import ahocorasick
 
     held = sys.modules.setdefault("_terralith_worker", types.ModuleType("_terralith_worker"))
-    key = f"scorer_{zlib.crc32(model)}"
-    if not hasattr(held, key):
-        stems = ahocorasick.Automaton()
-        for s in STEMS:
-            stems.add_word(s, s)
-        stems.make_automaton()
-        setattr(held, key, (Decoder(np.frombuffer(model, np.float32)), stems, [(c, re.compile(r)) for c, _, r in RULES]))
-    return getattr(held, key)
-
-
-def _score(text: str, decoder: Decoder, stems, rules) -> tuple[int, int, int, int, str]:
-    plain = decoder.restore(folded(text))
-    if next(iter(stems.iter(plain)), None) is None:
-        return 0, 0, 0, 0, ""
-    found, worst = {"abusive": 0, "hateful": 0, "sexual": 0}, ""
-    sentences = [s for s in _SENTENCE.split(plain) if s.strip()]
-    for sentence in sentences:
-        if next(iter(stems.iter(sentence)), None) is None:
-            continue
-        kinds = {c for c, rule in rules if rule.search(sentence)}
-        for c in kinds:
-            found[c] += 1
-        if kinds and not worst:
-            worst = sentence.strip()
-    return found["abusive"], found["hateful"], found["sexual"], len(sentences), worst
-
-
-def content_scores(documents: DataFrame) -> DataFrame:
+    if not hasattr(held, shared[0]):
+        setattr(held, shared[0], make(shared[1].value))
+    return getattr(held, shared[0])
+
+
+def _decoder(model: tuple) -> Decoder:
+    return _once(model, lambda value: Decoder(np.frombuffer(value, np.float32)))
+
+
+def _score(text: str, decoder: Decoder, scorer: Scorer) -> tuple[int, int, int, int, float, str]:
+    """Sentences of each kind, sentences, the highest probability of any kind, and the first sentence that is of a kind."""
+    found, worst, top = [0, 0, 0], "", -30.0
+    parts = sentences(decoder.restore(folded(text)))
+    for sentence in parts:
+        odds = scorer.sentence(sentence)
+        most = max(odds)
+        top = max(top, most)
+        if most > 0:
+            found[odds.index(most)] += 1
+            worst = worst or sentence.strip()
+    return *found, len(parts), 1 / (1 + math.exp(-min(top, 30.0))), worst
+
+
+def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
+    """(doc_id, labels): at most `bound` documents and all their labels, always the same ones. Null and unknown labels are ignored."""
+    known = labels.where("doc_id is not null").select("doc_id", F.lower(F.trim("label")).alias("label")).where(F.col("label").isin("none", *CATEGORIES))
+    by = known.groupBy("doc_id").agg(F.sort_array(F.collect_list("label")).alias("labels"))  # a document has a few raters
+    return by.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def restored(documents: DataFrame, model) -> DataFrame:
+    """`documents` with `text` restored by the decoder of a shared language model."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        decoder = _decoder(model)
+        return pd.Series([decoder.restore(folded(t)) if t else "" for t in texts])
+
+    return documents.withColumn("text", run("text"))
+
+
+def fitted_scorer(documents: DataFrame, labels: DataFrame | None, model, bound: int = LABELLED) -> Scorer:
+    """The scorer fitted to a bounded sample of labelled documents; the starting weights without labels."""
+    if labels is None:
+        return train([], [])
+    sample = cut(labelled_sample(labels, bound))
+    texts = restored(documents.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id"), model).toPandas()  # at most `bound` texts
+    texts = texts.sort_values("doc_id")
+    return train(list(texts["text"]), [list(x) for x in texts["labels"]])
+
+
+def content_scores(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """`documents` scored: doc_id, source, abusive, hateful, sexual (sentences of each kind), sentences, score, example.
 
-    score is 1 - 0.5^(sentences of any kind): 0 without one, 0.5 with one, towards 1 with more. Null, empty and blank texts
-    score 0. Every sentence of every text is read.
+    score is the probability of the sentence that is most likely of any kind; from 0.5 on the document holds such language.
+    labels (doc_id, label) may hold several rows a document; without any, the lexicon's weights decide. Null, empty and blank
+    texts score 0. Every sentence of every text is read.
     """
-    held = documents.sparkSession.sparkContext.broadcast(language_model(documents).tobytes())
+    model = _shared(documents.sparkSession, language_model(documents).tobytes())
+    fitted = fitted_scorer(documents, labels, model)
+    weights = _shared(documents.sparkSession, (fitted.vocabulary, fitted.weights, fitted.bias))
 
-    @F.pandas_udf("struct<abusive: int, hateful: int, sexual: int, sentences: int, example: string>")
+    @F.pandas_udf("struct<abusive: int, hateful: int, sexual: int, sentences: int, score: double, example: string>")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        parts = _scorer(held.value)
-        return pd.DataFrame([_score(t, *parts) if t else (0, 0, 0, 0, "") for t in texts], columns=["abusive", "hateful", "sexual", "sentences", "example"])
+        decoder, judge = _decoder(model), _once(weights, lambda value: Scorer(*value))
+        return pd.DataFrame([_score(t, decoder, judge) if t and not t.isspace() else (0, 0, 0, 0, 0.0, "") for t in texts], columns=["abusive", "hateful", "sexual", "sentences", "score", "example"])
+
+    return documents.select("doc_id", name_key(F.col("source")).alias("source"), scored("text").alias("s")).select("doc_id", "source", "s.*")
+
+
+def held_out(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """How a scorer fitted to one half of the labelled documents does on the other: by lang, said and disguised.
+
+    said is what most raters said (ties and rows without a known label are left out), disguised whether decoding changes the
+    text; documents counts them, flagged those that the scorer finds, named those of which it finds the kind that was said.
+    """
+    known = labels.where("doc_id is not null").select("doc_id", F.lower(F.trim("label")).alias("label")).where(F.col("label").isin("none", *CATEGORIES))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    model = _shared(documents.sparkSession, language_model(documents).tobytes())
+    fitted = fitted_scorer(documents, known.where(half == 0), model)
+    weights = _shared(documents.sparkSession, (fitted.vocabulary, fitted.weights, fitted.bias))
+
+    @F.pandas_udf("struct<abusive: int, hateful: int, sexual: int, disguised: boolean>")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        decoder, judge = _decoder(model), _once(weights, lambda value: Scorer(*value))
+        rows = []
+        for t in texts:
+            plain = folded(t)
+            rows.append((*_score(t, decoder, judge)[:3], decoder.restore(plain) != plain))
+        return pd.DataFrame(rows, columns=["abusive", "hateful", "sexual", "disguised"])
+
+    votes = known.where(half == 1).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    votes = votes.groupBy("doc_id").agg(F.max(F.struct("n", "label")).alias("top"), F.sort_array(F.collect_list("n"), asc=False).alias("ns")).where("size(ns) = 1 or ns[0] > ns[1]").select("doc_id", F.col("top.label").alias("said"))
+    rows = documents.where("text is not null").select("doc_id", "text", F.lower("lang").alias("lang")).join(votes, "doc_id").select("lang", "said", judged("text").alias("j")).select("lang", "said", "j.*")
+    flagged = F.col("abusive") + F.col("hateful") + F.col("sexual") > 0
+    named = F.when(F.col("said") == "none", ~flagged).otherwise(F.expr("case said when 'abusive' then abusive when 'hateful' then hateful else sexual end > 0"))
+    return rows.groupBy("lang", "said", "disguised").agg(F.count("*").alias("documents"), F.count(F.when(flagged, 1)).alias("flagged"), F.count(F.when(named, 1)).alias("named"))
 
-    out = documents.select("doc_id", name_key(F.col("source")).alias("source"), scored("text").alias("s")).select("doc_id", "source", "s.*")
-    return out.withColumn("score", 1 - F.pow(F.lit(0.5), F.col("abusive") + F.col("hateful") + F.col("sexual")))
+
+def _inputs(spark, directory: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, directory, "documents"), table(spark, directory, "content_labels")
 
 
 def p8_found(spark, directory: str) -> DataFrame:
     """Documents with an abusive, hateful or sexually explicit sentence of their own."""
-    return content_scores(table(spark, directory, "documents")).where("score > 0").select("doc_id")
+    return content_scores(*_inputs(spark, directory)).where("score > 0.5").select("doc_id")
 
 
 def p8_scores(spark, directory: str) -> DataFrame:
-    return content_scores(table(spark, directory, "documents"))
+    return content_scores(*_inputs(spark, directory))
 
 
 def p8_report(spark, directory: str) -> DataFrame:
     """Per source: documents, documents with each kind of language, and their rate; with the raters' labels beside them."""
-    scored = cut(content_scores(table(spark, directory, "documents")))
-    labels = table(spark, directory, "content_labels").groupBy("doc_id").agg(F.avg((F.col("label") != "none").cast("int")).alias("said"))
+    documents, rated = _inputs(spark, directory)
+    scored = cut(content_scores(documents, rated))
+    labels = rated.groupBy("doc_id").agg(F.avg((F.col("label") != "none").cast("int")).alias("said"))
     joined = scored.join(labels, "doc_id", "left")
     return joined.groupBy("source").agg(
         F.count("*").alias("documents"), F.count(F.when(F.col("abusive") > 0, 1)).alias("abusive"), F.count(F.when(F.col("hateful") > 0, 1)).alias("hateful"), F.count(F.when(F.col("sexual") > 0, 1)).alias("sexual"),
-        F.round(F.avg((F.col("score") > 0).cast("int")), 6).alias("rate"), F.count("said").alias("labelled"), F.count(F.when((F.col("said") > 0.5) == (F.col("score") > 0), 1)).alias("agreed"),
+        F.round(F.avg((F.col("score") > 0.5).cast("int")), 6).alias("rate"), F.count("said").alias("labelled"), F.count(F.when((F.col("said") > 0.5) == (F.col("score") > 0.5), 1)).alias("agreed"),
     )
+
+
+def p8_holdout(spark, directory: str) -> DataFrame:
+    """Held-out agreement of the scorer with the raters, by language, kind and disguise."""
+    return held_out(*_inputs(spark, directory))

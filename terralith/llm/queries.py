@@ -25,6 +25,7 @@ def queries() -> dict:
         "p8_found": abuse.p8_found,
         "p8_report": abuse.p8_report,
         "p8_scores": abuse.p8_scores,
+        "p8_holdout": abuse.p8_holdout,
     }
 
 
