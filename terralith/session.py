@@ -28,10 +28,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder: later stages read files that outlive any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, iterated: bool = False) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder: later stages read files that outlive any executor.
+
+    A checkpoint keeps what the optimiser knew about its columns. In a loop (`iterated`) that knowledge doubles with every
+    round until planning takes longer than running, so it is not gathered there.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    if not iterated or spark.conf.get(name) == "false":
+        return df.checkpoint(eager=True)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.unset(name)
 
 
 def small(df: DataFrame, most_rows: int) -> bool:
