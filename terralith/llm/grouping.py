@@ -3,35 +3,37 @@
 Records and the things they share (features, authors, seeds) form a hypergraph. Its things are the nodes; a record that has
 several joins them by a star of edges, so hot things never expand into pairs of records. A level of the search goes:
 
-1. adjacency lists are hash-partitioned; every node whose priority (a hash) is the smallest among its neighbours is a seed;
+1. adjacency lists are hash-partitioned; every node that goes before its neighbours (more neighbours, then a hash) is a seed;
 2. all seeds expand at once, `RINGS` rings deep; a node reached by several seeds keeps the smallest label, a node not reached
    is a seed of its own;
 3. edges whose ends carry different labels are collisions: they are the edges of the next, much smaller graph, whose nodes
    are the labels.
 
 Each component holds a seed (its smallest node at least), every level leaves at most one node for each seed, and the levels end when no collision
-is left. A small last graph (at most `LAST_EDGES` edges, counted) is merged by union-find inside one executor task. Labels of
-hot nodes are joined by broadcast, all others by a shuffle on the node, so no task gathers a hot node's edges.
+is left: the graph of colliding labels is merged by the same search, at every size. Labels of hot nodes are joined by
+broadcast, all others by a shuffle on the node, so no task gathers a hot node's edges.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.llm.prefix import unit_hash
+from terralith.operators.joins import salted_join
 from terralith.session import cut, id_key, name_key, table
 
 #: Rings a seed expands in one level.
 RINGS = 2
-#: Edges of a label graph that one task merges (about 16 bytes each); larger graphs are searched level by level.
-LAST_EDGES = 50_000
 #: A node with more edges than this is hot, and than a MOST_HOT-th of all: so there are at most MOST_HOT, few enough to broadcast.
 HOT_DEGREE, MOST_HOT = 20_000, 50_000
 LEVELS = 60
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return cut(df, iterated=True)
+
+
 def _lookup(rows: DataFrame, labels: DataFrame, hot: DataFrame | None, node: str, out: str) -> DataFrame:
     """`rows` with the label `out` of column `node`; hot nodes' labels are broadcast (at most MOST_HOT)."""
     labels = labels.select(F.col("node").alias(node), F.col("label").alias(out))
@@ -42,55 +44,36 @@ def _lookup(rows: DataFrame, labels: DataFrame, hot: DataFrame | None, node: str
     return marked.where(F.col(out).isNotNull()).unionByName(marked.where(F.col(out).isNull()).drop(out).join(labels, node))
 
 
-def _union_find(batches):
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch["u"].tolist(), batch["v"].tolist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "label": pd.Series([root(x) for x in nodes], dtype="int64")})
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of `edges` (u, v: long); nodes have one label exactly if they are connected.
 
     Loops and repeated edges are allowed; rows with a null end are ignored; no edges give no rows.
     """
     edges = edges.where("u is not null and v is not null")
-    both = cut(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select("v", "u")).distinct())
-    parts, pending = [], both.count()
+    both = _cut(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select("v", "u")).distinct())
+    pending = both.count()
     maps: list[DataFrame] = []
     for _ in range(LEVELS):
         if pending == 0:
             break
-        if pending <= 2 * LAST_EDGES:
-            last = both.where("u < v").coalesce(1).mapInPandas(_union_find, "node long, label long")
-            maps.append(cut(last))
-            break
-        degree = both.groupBy("u").agg(F.count("*").alias("d"), F.min(F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("n"))).alias("least"))
-        own = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("n"))
-        nodes = cut(degree.select(F.col("u").alias("node"), "d", (own < F.col("least")).alias("seed")))
+        degree = _cut(both.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("d")))
         hot_at = max(HOT_DEGREE, pending // MOST_HOT)
-        hot = nodes.where(F.col("d") > hot_at).select("node")
+        hot = degree.where(F.col("d") > hot_at).select("node")
         hot = hot if pending > hot_at and not hot.isEmpty() else None
+        # the node of most neighbours goes first, so that a star falls to its centre and not its points; then a hash decides
+        order = F.struct((-F.col("d")).alias("d"), F.xxhash64("node").alias("h"), "node")
+        first = _lookup(both, degree.select("node", order.alias("label")), hot, "u", "p").groupBy("v").agg(F.min("p").alias("least"))
+        nodes = _cut(degree.join(first, F.col("node") == F.col("v")).select("node", (order < F.col("least")).alias("seed")))
         reached = nodes.where("seed").select("node", F.col("node").alias("label"))
         for _ring in range(RINGS):
             # from the frontier outwards: a node takes the smallest label among its neighbours unless it has one
             found = _lookup(both, reached, hot, "u", "label").groupBy("v").agg(F.min("label").alias("label")).select(F.col("v").alias("node"), "label")
             fresh = found.join(reached.select("node"), "node", "left_anti")
-            reached = cut(reached.unionByName(fresh))
-        labels = cut(nodes.select("node").join(reached, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+            reached = _cut(reached.unionByName(fresh))
+        labels = _cut(nodes.select("node").join(reached, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
         maps.append(labels)
         crossing = _lookup(_lookup(both, labels, hot, "u", "a"), labels, hot, "v", "b").where("a <> b")
-        both = cut(crossing.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        both = _cut(crossing.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
         pending = both.count()
     else:
         raise RuntimeError(f"components not found in {LEVELS} levels")
@@ -134,8 +117,9 @@ def connected_samples(samples: DataFrame) -> DataFrame:
     pairs = rows.select("id", F.explode("keys").alias("key"))
     seeds = pairs.where("key like 's:%'").select(F.substring("key", 3, 1 << 30).alias("seed")).distinct()
     there = seeds.join(ids, seeds["seed"] == ids["id"], "left_semi")
-    gone = pairs.where("key like 's:%'").join(there, F.substring("key", 3, 1 << 30) == F.col("seed"), "left_semi")
-    pairs = pairs.where("key not like 's:%'").unionByName(gone).unionByName(there.select(F.col("seed").alias("id"), F.concat(F.lit("s:"), F.col("seed")).alias("key")))
+    # a seed may be named by a great part of all samples
+    known = salted_join(pairs.where("key like 's:%'").withColumn("seed", F.substring("key", 3, 1 << 30)), there.select("seed"), "seed").select("id", "key")
+    pairs = pairs.where("key not like 's:%'").unionByName(known).unionByName(there.select(F.col("seed").alias("id"), F.concat(F.lit("s:"), F.col("seed")).alias("key")))
     # a sample's keys are few; their numbers are 64-bit hashes
     stars = cut(pairs.groupBy("id").agg(F.collect_set(F.xxhash64("key")).alias("ks"), F.min(F.when(F.col("key").startswith("f:"), F.substring("key", 3, 1 << 30))).alias("feature")))
     stars = stars.withColumn("centre", F.array_min("ks"))
@@ -197,7 +181,7 @@ def split_components(members: DataFrame, shares: dict[str, float] | None = None,
         upto += room[name] * scale
         choice = (F.when if choice is None else choice.when)(F.col("middle") < upto, name)
     rest = rest.select("component", (F.lit(names[-1]) if choice is None else choice.otherwise(names[-1])).alias("split"))
-    return members.join(giants.unionByName(rest), "component")
+    return salted_join(members, giants.unionByName(rest), "component")
 
 
 def p2_found(spark, directory: str) -> DataFrame:
