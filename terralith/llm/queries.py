@@ -16,6 +16,7 @@ def queries() -> dict:
         "p3_found": canonical.p3_found,
         "p3_unmatched": canonical.p3_unmatched,
         "p5_found": overlap.p5_found,
+        "p5_classes": overlap.p5_classes,
         "p5_report": overlap.p5_report,
         "p6_found": leaks.p6_found,
         "p6_report": leaks.p6_report,
