@@ -26,6 +26,8 @@ UNSEEN = -2.5
 #: How strongly weights are drawn to their start: words, concepts.
 PULL_WORD, PULL_CONCEPT = 1.0, 1.0
 BIAS = -6.0
+#: Smaller weights are left out of the fitted scorer.
+LEAST_WEIGHT = 0.05
 #: Weight of a sentence that makes a text a case, against one of a text that is none: cases are few.
 POSITIVE = 8.0
 _WORD = re.compile(r"[a-z0-9]+")
@@ -39,6 +41,7 @@ for _concept, _list in CONCEPTS.items():
         if _concept not in _at[0].setdefault(_at[1], []):
             _at[0][_at[1]].append(_concept)
 _SHORTEST = min(map(len, _PREFIX))
+_STEMS = {w[:_SHORTEST] for w in _PREFIX}
 _IDIOMS: dict[str, list[tuple[str, ...]]] = {}
 for _phrase in IDIOMS:
     _IDIOMS.setdefault(_phrase.split()[0], []).append(tuple(_phrase.split()))
@@ -66,8 +69,9 @@ def concepts_of(word: str, memo: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
     found = memo.get(word)
     if found is None:
         names = list(_EXACT.get(word, ()))
-        for n in range(_SHORTEST, len(word) + 1):
-            names += [c for c in _PREFIX.get(word[:n], ()) if c not in names]
+        if word[:_SHORTEST] in _STEMS:
+            for n in range(_SHORTEST, len(word) + 1):
+                names += [c for c in _PREFIX.get(word[:n], ()) if c not in names]
         if "group" not in names and len(word) > 5 and word.endswith(PEOPLE_ENDINGS) and word not in NO_PEOPLE:
             names.append("group")
         if len(memo) > 300_000:
@@ -91,6 +95,9 @@ for _c in ("insult", "scorn", "slur"):
                     _NEAR[_v].append(_w)
 
 
+_HEADS, _TAILS = ({part(w) for ws in _NEAR.values() for w in ws} for part in (lambda w: w[:2], lambda w: w[-2:]))
+
+
 def _one_slip(a: str, b: str) -> bool:
     """Whether one letter put in, left out, altered, or swapped with its neighbour makes `b` of `a`."""
     if abs(len(a) - len(b)) > 1 or a[0] != b[0]:
@@ -107,7 +114,8 @@ def respelt(word: str, known, memo: dict[str, str]) -> str:
     found = memo.get(word)
     if found is None:
         found = word
-        if len(word) >= LEAST_RESPELT and word not in known and not _EXACT.get(word):
+        # one slip leaves the first two letters as they are, or the last two
+        if len(word) >= LEAST_RESPELT and (word[:2] in _HEADS or word[-2:] in _TAILS) and word not in known and not _EXACT.get(word):
             near = sorted({w for v in _slips(word) for w in _NEAR.get(v, ()) if _one_slip(word, w)})
             found = near[0] if near else word
         if len(memo) > 300_000:
@@ -147,8 +155,28 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s.strip()]
 
 
-def learnt_terms(words: list[str]) -> list[str]:
-    return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
+def learnt_terms(words: list[str], common: set[str]) -> set[str]:
+    """The common words of a sentence, and the pairs of neighbours of which both are common."""
+    held = [w if w in common else None for w in words]
+    out = {f"{a} {b}" for a, b in zip(held, held[1:]) if a is not None and b is not None}
+    out.update(held)
+    out.discard(None)
+    return out
+
+
+class _Known(dict):
+    """What words are to a scorer, looked up when first met: spelling, row or -1, rows of the pairs it begins, whether it is risky."""
+
+    def __init__(self, scorer: "Scorer"):
+        super().__init__()
+        self.scorer = scorer
+
+    def __missing__(self, word: str) -> tuple:
+        of = self.scorer
+        plain = respelt(word, of.vocabulary, of.slips)
+        risky = plain in _IDIOMS or not _RISKY.isdisjoint(concepts_of(plain, of.memo))
+        entry = self[word] = (plain, of.vocabulary.get(plain, -1), of.pairs.get(plain), risky)
+        return entry
 
 
 class Scorer:
@@ -158,29 +186,36 @@ class Scorer:
         self.vocabulary, self.weights, self.bias, self.memo, self.slips = vocabulary, weights, bias, {}, {}
         self.rows = [tuple(map(float, w)) for w in weights]
         self.base = tuple(map(float, bias))
-        # the first words of learnt pairs: other pairs need not be looked up
-        self.firsts = {t.split(" ", 1)[0] for t in vocabulary if " " in t}
+        self.pairs: dict[str, dict[str, int]] = {}
+        for term, k in vocabulary.items():
+            if " " in term:
+                first, second = term.split(" ", 1)
+                self.pairs.setdefault(first, {})[second] = k
+        self.known = _Known(self)
 
     def sentence(self, text: str) -> tuple[float, float, float]:
         """Log odds of each category."""
-        words = [respelt(w, self.vocabulary, self.slips) for w in _WORD.findall(text)]
+        words = _WORD.findall(text)
+        rows, found, risky, pairs = self.rows, set(), False, None
+        if len(self.known) > 300_000:
+            self.known.clear()
+        for plain, k, begun, bad in map(self.known.__getitem__, words):
+            if k >= 0:
+                found.add(k)
+            if pairs is not None and plain in pairs:
+                found.add(pairs[plain])
+            pairs = begun
+            if bad:
+                risky = True
+        if risky:
+            get, known = self.vocabulary.get, self.known
+            found.update(k for k in map(get, concept_features([known[w][0] for w in words], self.memo)) if k is not None)
         a, h, s = self.base
-        get, rows = self.vocabulary.get, self.rows
-        seen = set()
-        last = None
-        for w in words:
-            for term in (w, f"{last} {w}") if last in self.firsts else (w,):
-                k = get(term)
-                if k is not None and k not in seen:
-                    seen.add(k)
-                    r = rows[k]
-                    a, h, s = a + r[0], h + r[1], s + r[2]
-            last = w
-        for f in concept_features(words, self.memo):
-            k = get(f)
-            if k is not None:
-                r = rows[k]
-                a, h, s = a + r[0], h + r[1], s + r[2]
+        for k in found:
+            x, y, z = rows[k]
+            a += x
+            h += y
+            s += z
         return a, h, s
 
 
@@ -198,7 +233,7 @@ def _bags(texts: list[str]):
         rows = []
         for s in sentences(text):
             words = [respelt(w, common, slips) for w in _WORD.findall(s)]
-            rows.append((set(learnt_terms(words)), concept_features(words, memo)))
+            rows.append((learnt_terms(words, common), concept_features(words, memo)))
         per_text.append(rows)
         seen.update(set().union(*(r[0] for r in rows)) if rows else ())
     vocabulary = {f: i for i, f in enumerate(START)}
@@ -294,6 +329,6 @@ def train(texts: list[str], ratings: list[list[str]]) -> Scorer:
             rate = RATE * (1 - 0.8 * step / STEPS)
             weights -= rate * (moment / one) / (np.sqrt(square / two) + 1e-6)
             bias -= 0.3 * rate * (moment_bias / one) / (np.sqrt(square_bias / two) + 1e-6)
-    kept = np.abs(weights[:size]).max(1) > 1e-3
+    kept = np.abs(weights[:size]).max(1) > LEAST_WEIGHT
     names = [t for t, k in vocabulary.items() if kept[k]]
     return Scorer({t: i for i, t in enumerate(names)}, weights[[vocabulary[t] for t in names]].astype(np.float32), bias)
