@@ -20,7 +20,7 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 #: Words and pairs of words are learnt if at least so many labelled documents hold them.
 LEAST_DOCUMENTS = 3
 #: Rounds of giving labels to sentences, and steps of the regression in each.
-ROUNDS, STEPS, RATE = 3, 25, 0.3
+ROUNDS, STEPS, RATE = 3, 20, 0.3
 #: Log odds below which the likeliest sentence of a text shows nothing to learn from.
 UNSEEN = -2.5
 #: How strongly weights are drawn to their start: words, concepts.
@@ -30,7 +30,7 @@ BIAS = -6.0
 LEAST_WEIGHT = 0.05
 #: Weight of a sentence that makes a text a case, against one of a text that is none: cases are few.
 POSITIVE = 8.0
-_WORD = re.compile(r"[a-z0-9]+")
+_BREAKS = bytes(i if 97 <= i <= 122 or 48 <= i <= 57 else 32 for i in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 _EXACT: dict[str, list[str]] = {}
@@ -65,6 +65,11 @@ START = {
 }
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits of a folded text."""
+    return text.encode().translate(_BREAKS).decode().split()
+
+
 def concepts_of(word: str, memo: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
     found = memo.get(word)
     if found is None:
@@ -195,7 +200,7 @@ class Scorer:
 
     def sentence(self, text: str) -> tuple[float, float, float]:
         """Log odds of each category."""
-        words = _WORD.findall(text)
+        words = words_of(text)
         rows, found, risky, pairs = self.rows, set(), False, None
         if len(self.known) > 300_000:
             self.known.clear()
@@ -226,14 +231,22 @@ def start_scorer() -> Scorer:
 
 def _bags(texts: list[str]):
     """Sentences of all texts as features laid end to end: vocabulary, feature numbers, sentence starts, text of each sentence."""
-    memo, slips = {}, {}
+    memo: dict[str, tuple[str, ...]] = {}
+    looked: dict[str, tuple[str, bool]] = {}
+    slips: dict[str, str] = {}
     per_text, seen = [], Counter()
-    common = {w for w, n in Counter(w for text in texts for w in set(_WORD.findall(text))).items() if n >= LEAST_DOCUMENTS}
+    common = {w for w, n in Counter(w for text in texts for w in set(words_of(text))).items() if n >= LEAST_DOCUMENTS}
     for text in texts:
         rows = []
         for s in sentences(text):
-            words = [respelt(w, common, slips) for w in _WORD.findall(s)]
-            rows.append((learnt_terms(words, common), concept_features(words, memo)))
+            words, risky = [], False
+            for w in words_of(s):
+                if w not in looked:
+                    plain = respelt(w, common, slips)
+                    looked[w] = plain, plain in _IDIOMS or not _RISKY.isdisjoint(concepts_of(plain, memo))
+                words.append(looked[w][0])
+                risky = risky or looked[w][1]
+            rows.append((learnt_terms(words, common), concept_features(words, memo) if risky else []))
         per_text.append(rows)
         seen.update(set().union(*(r[0] for r in rows)) if rows else ())
     vocabulary = {f: i for i, f in enumerate(START)}
@@ -285,8 +298,7 @@ def train(texts: list[str], ratings: list[list[str]]) -> Scorer:
     # texts with a label of their own category share words that texts without one lack: where the first round looks
     first = np.searchsorted(owner, np.arange(n))
     hint = np.zeros((size + 1, 3))
-    own = np.unique(owner[sentence_of] * (size + 1) + np.where(flat < 0, size, flat))
-    own_text, own_term = own // (size + 1), own % (size + 1)
+    own_text, own_term = owner[sentence_of], np.where(flat < 0, size, flat)
     for c in range(3):
         yes = np.bincount(own_term, weights=(said[own_text, c] > 0).astype(float), minlength=size + 1)
         no = np.bincount(own_term, weights=(said[own_text] <= 0).all(1).astype(float), minlength=size + 1)
