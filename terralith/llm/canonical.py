@@ -13,6 +13,7 @@ import unicodedata
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.operators.joins import salted_join
 from terralith.session import broadcast_if_small, cut, id_key, table
 
 #: Segment rows of a reference list that may be broadcast (a row is about 60 bytes); a longer list is joined by a shuffle.
@@ -85,16 +86,18 @@ def pigeonhole_pairs(values: DataFrame, refs: DataFrame, k: int, value: str = "v
     return pairs.distinct().select(F.col("_v").alias(value), F.col("_r").alias(ref), F.levenshtein("_v", "_r").alias("distance"))
 
 
-def swapped_pairs(values: DataFrame, refs: DataFrame, value: str = "value", ref: str = "ref") -> DataFrame:
+def swapped_pairs(values: DataFrame, refs: DataFrame, value: str = "value", ref: str = "ref", slips: int = 2) -> DataFrame:
     """Pairs (value, ref, distance) that neighbours swapped by a slip of the fingers keep apart: one swap and at most one edit, or two swaps.
 
-    A swap is one slip but two edits, so `pigeonhole_pairs` with k = 2 misses these. Every value is tried with each pair of
-    neighbours swapped back (pigeonhole join with k = 1), and with each two such pairs (equality join).
+    A swap is one slip but two edits, so `pigeonhole_pairs` with k = 2 misses these. Every value of more than three letters is tried with each pair of
+    neighbours swapped back (pigeonhole join with k = 1), and with each two such pairs (equality join). With `slips` = 1 one swap alone counts.
     """
     swap = lambda text, i: f"concat(substring({text}, 1, {i} - 1), substring({text}, {i} + 1, 1), substring({text}, {i}, 1), substring({text}, {i} + 2))"
     v = _fitting(values.where(F.length(value) > 3).select(F.col(value).alias("_value")), refs, "_value", ref, 1).distinct()
     once = v.select("_value", F.explode(F.expr(f"array_distinct(transform(sequence(1, length(_value) - 1), i -> {swap('_value', 'i')}))")).alias("_swapped"))
     near = once.join(pigeonhole_pairs(once.select(F.col("_swapped").alias("_s")), refs, 1, "_s", ref, short=False), F.col("_swapped") == F.col("_s")).select("_value", ref, (F.col("distance") + 1).alias("distance"))
+    if slips < 2:
+        return near.where("distance = 1").groupBy(F.col("_value").alias(value), ref).agg(F.min("distance").alias("distance"))
     twice = v.select("_value", F.explode(F.expr(f"flatten(transform(sequence(1, length(_value) - 3), i -> transform(sequence(i + 2, length(_value) - 1), j -> {swap(swap('_value', 'i'), 'j')})))")).alias("_swapped"))
     same = twice.join(broadcast_if_small(refs.select(F.col(ref)), BROADCAST_SEGMENTS), F.col("_swapped") == F.col(ref)).select("_value", ref, F.lit(2).alias("distance"))
     return near.unionByName(same).groupBy(F.col("_value").alias(value), ref).agg(F.min("distance").alias("distance"))
@@ -118,9 +121,6 @@ GENERIC = {
 }
 #: Words of names that tell one place from another, with their abbreviations.
 MODIFIERS = {"n": "north", "s": "south", "e": "east", "w": "west", "st": "saint", "ste": "saint", "nth": "north", "sth": "south", "nw": "new", "nord": "north", "sur": "south", "sud": "south"}
-LONGEST_WINDOW = 4
-#: Shorter words are not tried for swapped neighbours.
-LEAST_SWAPPED = 8
 
 
 def _words(mapping: dict[str, str]):
@@ -155,24 +155,28 @@ def map_to_canonical(typed: DataFrame, canonical: DataFrame, k: int = 2, text: s
     )
     generic = F.array(*[F.lit(x) for x in [*GENERIC, "of", "de", "the"]])
     core = F.array_join(F.filter(F.split("_full", " "), lambda w: ~F.array_contains(generic, w)), "")
-    entries = entries.withColumn("_core", F.when(F.length(core) > 2 * k, core).otherwise(F.replace(F.col("_full"), F.lit(" "), F.lit("")))).withColumn("_joined", F.replace(F.col("_full"), F.lit(" "), F.lit(""))).where("_joined <> ''").distinct()
+    entries = entries.withColumn("_core", F.when(core != "", core).otherwise(F.replace(F.col("_full"), F.lit(" "), F.lit("")))).withColumn("_joined", F.replace(F.col("_full"), F.lit(" "), F.lit(""))).where("_joined <> ''").distinct()
 
     entries = cut(entries)
     asked = typed.select(F.col(text).alias("_text"), F.col(country).alias("_given")).where(F.trim("_text") != "").distinct()
     # the distinct spellings feed several joins: written once to the shared folder
     asked = cut(typed_parts(asked, "_text").withColumn("_head", F.xxhash64("_tokens")).withColumn("_place", F.replace(F.col("_tail"), F.lit(" "), F.lit(""))))
     heads = asked.where("size(_tokens) > 0").groupBy("_head").agg(F.first("_tokens").alias("_tokens"))
+    # a name written apart more than the list writes it has a few words more
+    longest = (entries.agg(F.max(F.size(F.split("_full", " ")))).first()[0] or 1) + k
     # windows carry no text but their own, so that long texts cost no more than their length
-    windows = heads.select("_head", F.expr(f"inline(flatten(transform(sequence(1, size(_tokens)), i -> transform(sequence(i, least(size(_tokens), i + {LONGEST_WINDOW - 1})), j -> struct(array_join(slice(_tokens, i, j - i + 1), '') AS _window, i AS _from, j - i + 1 AS _count)))))"))
+    windows = heads.select("_head", F.expr(f"inline(flatten(transform(sequence(1, size(_tokens)), i -> transform(sequence(i, least(size(_tokens), i + {longest - 1})), j -> struct(array_join(slice(_tokens, i, j - i + 1), '') AS _window, i AS _from, j - i + 1 AS _count)))))"))
     names = cut(entries.select(F.col("_core").alias("ref")).union(entries.select("_joined")).distinct())
-    windows = cut(_fitting(windows.where(F.length("_window") > 2 * k), names, "_window", "ref", k))
+    windows = cut(_fitting(windows, names, "_window", "ref", k))
     # places and what stands behind them are looked up together
-    looked_up = windows.select(F.col("_window").alias("value")).union(asked.where(F.length("_place") > 2 * k).select("_place"))
-    pairs = cut(pigeonhole_pairs(looked_up, names, k, short=False))
-    if k == 2:
+    looked_up = windows.select(F.col("_window").alias("value")).union(asked.where("_place <> ''").select("_place"))
+    # a name of 2k letters or less is another name after k edits: it must be written as it is
+    sure = (F.length("ref") > 2 * k) & (F.length("value") > 2 * k) | (F.col("distance") == 0)
+    pairs = cut(pigeonhole_pairs(looked_up, names, k).where(sure))
+    if k:
         # spellings that no edit explains are tried for swapped neighbours
         open_ = windows.join(windows.join(pairs, F.col("_window") == F.col("value")).select("_head").distinct(), "_head", "left_anti")
-        pairs = pairs.unionByName(cut(swapped_pairs(open_.where(F.length("_window") >= LEAST_SWAPPED).select(F.col("_window").alias("value")), names)))
+        pairs = pairs.unionByName(cut(swapped_pairs(open_.where(F.length("_window") > 2 * k).select(F.col("_window").alias("value")), names, slips=k).where(sure)))
     hits = windows.join(pairs, F.col("_window") == F.col("value")).join(heads, "_head")
     hits = hits.withColumn("_all", F.col("_count") == F.size("_tokens")).withColumn("_rest", F.expr("concat(slice(_tokens, 1, _from - 1), slice(_tokens, _from + _count, size(_tokens)))")).drop("_tokens")
     by_core = entries.select("*", F.col("_core").alias("ref"), F.lit(False).alias("_whole"))
@@ -204,9 +208,14 @@ def map_to_canonical(typed: DataFrame, canonical: DataFrame, k: int = 2, text: s
         "_rank",
         F.struct("distance", "_misfit", (~F.coalesce(F.col("_at") == F.col("_inside"), F.lit(False))).alias("a"), (~F.coalesce(F.col("_at") == F.upper(F.trim("_given")), F.lit(False))).alias("b"), (~F.col("_division")).alias("c"), "_id"),
     )
-    meant = ranked.groupBy("_text", "_given").agg(F.min("_rank")["_id"].alias("_meant"))
-    rows = typed.join(meant, F.col(text).eqNullSafe(F.col("_text")) & F.col(country).eqNullSafe(F.col("_given")), "left")
-    return rows.select(*[F.col(f"`{c}`") for c in typed.columns], F.coalesce("_meant", F.lit(0).cast("long")).alias("canonical_id"))
+    meant = cut(ranked.groupBy("_text", "_given").agg(F.min("_rank")["_id"].alias("_meant")))
+    # what no entry explains is told by an anti-join; one text may be a great part of all rows
+    spellings = typed.select(F.col(text).alias("_text"), F.col(country).alias("_given")).distinct()
+    same = lambda a, b: a["_text"].eqNullSafe(b["_text"]) & a["_given"].eqNullSafe(b["_given"])
+    unmatched = spellings.join(meant, same(spellings, meant), "left_anti").withColumn("_meant", F.lit(0).cast("long"))
+    told = meant.unionByName(unmatched).withColumn("_key", F.xxhash64("_text", "_given"))
+    rows = salted_join(typed.withColumn("_key", F.xxhash64(text, country)), told, "_key").where(F.col(text).eqNullSafe(F.col("_text")) & F.col(country).eqNullSafe(F.col("_given")))
+    return rows.select(*[F.col(f"`{c}`") for c in typed.columns], F.col("_meant").alias("canonical_id"))
 
 
 def typed_values(spark, directory: str) -> DataFrame:
@@ -231,8 +240,6 @@ def p3_found(spark, directory: str) -> DataFrame:
 
 
 def p3_unmatched(spark, directory: str) -> DataFrame:
-    """Typed values that mean no entry, by anti-join, with how often and from where they were typed."""
-    typed = cut(typed_values(spark, directory))
-    found = map_to_canonical(typed, table(spark, directory, "canonical_places")).where("canonical_id <> 0")
-    left = typed.join(found.select("origin", "record_key"), ["origin", "record_key"], "left_anti")
+    """Typed values that mean no entry, with how often and from where they were typed."""
+    left = map_to_canonical(cut(typed_values(spark, directory)), table(spark, directory, "canonical_places")).where("canonical_id = 0")
     return left.groupBy("origin", fold(F.col("text")).alias("value")).agg(F.count("*").alias("times"), F.countDistinct("country").alias("countries"))

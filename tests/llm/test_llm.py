@@ -166,12 +166,13 @@ def test_swapped_pairs(spark):
 
 def test_mapping(spark):
     entries = spark.createDataFrame(
-        [(1, "Nudmidguk", "county", "XT"), (2, "Nudmidguk Bay", "bay", "XT"), (3, "Sontéslix", "county", "XK"), (4, "Sontéslix", "county", "XF"), (5, "Lake South Mubredmûb", "lake", "QZ"), (6, "Ratvevsizland", "country", "XF"), (7, "Gulf of Belpebdum", "gulf", "XA"), (None, "x", "y", "z"), (9, None, None, None)],
+        [(1, "Nudmidguk", "county", "XT"), (2, "Nudmidguk Bay", "bay", "XT"), (3, "Sontéslix", "county", "XK"), (4, "Sontéslix", "county", "XF"), (5, "Lake South Mubredmûb", "lake", "QZ"), (6, "Ratvevsizland", "country", "XF"), (7, "Gulf of Belpebdum", "gulf", "XA"), (10, "Ure", "river", "XT"), (11, "Belmar", "county", "XT"), (12, "One Two Three Four Five Six Seven", "region", "XT"), (13, "Lake Abe", "lake", "XT"), (None, "x", "y", "z"), (9, None, None, None)],
         "canonical_id long, name string, subtype string, country string",
     )
     cases = [
         ("Nudmidguk", None, 1), ("  NUDMIDGUK??", None, 1), ("Nudmkdguk", None, 1), ("nudmidguk byy", None, 2), ("Nudmidguk Bahía", None, 2), ("county of Nudmidguk", None, 1), ("Sontéslix", "XF", 4), ("sonteslix (XK)", "XF", 3), ("Sonteslix in Ratvevsizland", None, 4), ("Lake S. Mubredmub", None, 5), ("laek south mubredmub 2024", None, 5),
         ("LakeSouthMubredmub", None, 5), ("Mubredmub", None, 0), ("Golfo de Belpebdum", None, 7), ("Lake South MubredmÃ»b", None, 5), ("Skanertod, Ratvevsizland", "XF", 0), ("test test", None, 0), ("???", None, 0), (None, None, 0), ("  ", "XT", 0), ("Ratvevsizland", None, 6), ("x" * 5000, None, 0), ("North Nudmidguk", None, 0),
+        ("Ure", None, 10), ("the river Ure", None, 10), ("Urk", None, 0), ("Blemra", None, 11), ("one two three four five six seven", None, 12), ("one two three fo ur five six sevn", None, 12), ("Abe", None, 13), ("lake abe", None, 13),
     ]
     typed = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "n int, text string, country string, expected int").withColumns({c: F.lit("clash") for c in ("value", "ref", "name", "distance", "subtype", "s")})
     got = {r["n"]: r for r in canonical.map_to_canonical(typed, entries).collect()}
