@@ -290,6 +290,35 @@ def test_altered_passages_set_apart_are_found():
     assert leaks._aligned(doc, item, rare) < leaks.LEAST_WORDS
 
 
+def test_leaks_in_a_document_of_a_million_words(spark):
+    """The passage is found wherever it stands; only stretches around hits are aligned."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("bcdfglmnrst", k=2)) + rng.choice("aeiou") for _ in range(400)]
+    passage = " ".join(rng.choices(words, k=60))
+    whole = rng.choices(words, k=1_000_000)
+    texts = [" ".join(whole[:700_000]) + " " + passage + " " + " ".join(whole[700_000:]), " ".join(whole[:5000]), None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, " ".join(rng.choices(words, k=60)))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["words_leaked"]) for r in leaks.leaked_items(docs, items).collect()] == [(0, 1, 60)]
+
+
+def test_items_without_rare_words_are_found(spark):
+    """Words that all items share make a passage too: then windows that few items have are hashed."""
+    rng = random.Random(6)
+    words = [f"word{chr(97 + i)}" for i in range(26)]
+    items = [(i, " ".join(rng.choices(words, k=40))) for i in range(30)]
+    docs = spark.createDataFrame([(1, "before it " + items[7][1] + " after it"), (2, " ".join(rng.choices(words, k=300)))], "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert got == [(1, 7)]
+
+
+def test_stretches_around_hits():
+    doc = np.arange(1000)
+    got = leaks._around(doc, np.array([5, 20, 600, 600]), 10)
+    assert got[0] == 0 and (got == leaks.BARRIER).sum() == 20 and set(range(0, 48)) <= set(got.tolist()) and {572, 600, 627} <= set(got.tolist()) and 300 not in got
+    assert len(leaks._around(doc, np.array([], int), 10)) == 0
+
+
 # problem 7
 
 
