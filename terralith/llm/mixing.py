@@ -97,8 +97,10 @@ class TokenMix:
         self.plan = plan.withColumn("rest_tokens", F.col("can_tokens") - F.col("epochs") * F.col("have_tokens"))
 
     def unmet(self) -> DataFrame:
-        """Sources that cannot reach their weight even when repeated as often as allowed."""
-        return self.plan.where(F.col("max_repeats") * F.col("have_tokens") < F.col("want_tokens")).select("mix_id", "source")
+        """Sources of which the mix falls short, and that cannot reach their weight even when repeated as often as allowed."""
+        drawn = self.draw().groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn_tokens"))
+        short = self.plan.join(drawn, ["mix_id", "source"], "left").where(F.coalesce("drawn_tokens", F.lit(0)) < F.col("want_tokens"))
+        return short.where(F.col("max_repeats") * F.col("have_tokens") < F.col("want_tokens")).select("mix_id", "source")
 
     def draw(self) -> DataFrame:
         """The mix: mix_id, source, doc_id, tokens, repeats (how often the document stands in the mix)."""

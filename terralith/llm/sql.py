@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from terralith.llm.sampling import ALIASES, TAXONOMY
+# Fixed values, stated here on their own: categories of each dimension, and abbreviations in use.
+CATEGORIES = {
+    "task_family": "direct_lookup disambiguation attribute_filter adjacency multi_adjacency containment intersection chained buffer difference border_corridor partial_selection set_operations aggregation window_function",
+    "sql_difficulty": "easy medium hard expert",
+    "grounding_difficulty": "easy medium hard",
+    "anchor_source": "divisions_area natural_earth mixed",
+}
+SHORT = {"med": "medium", "mid": "medium", "diff": "hard", "ez": "easy"}
 
 
 def p1_found() -> str:
     key = lambda c: f"nullif(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '')"
-    known = ", ".join(f"('{d}', '{''.join(ch for ch in c if ch.isalnum())}')" for d, groups in TAXONOMY.items() for cs in groups.values() for c in cs)
-    long = " UNION ALL ".join(f"SELECT id, '{d}' AS dimension, metadata.{d} AS raw FROM s" for d in TAXONOMY)
-    alias = "CASE k " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items()) + " ELSE k END"
+    known = ", ".join(f"('{d}', '{c.replace('_', '')}')" for d, cs in CATEGORIES.items() for c in cs.split())
+    long = " UNION ALL ".join(f"SELECT id, '{d}' AS dimension, metadata.{d} AS raw FROM s" for d in CATEGORIES)
+    alias = "CASE k " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SHORT.items()) + " ELSE k END"
     swapped = "(length(k) = length(v.key) AND list_sort(string_split(k, '')) = list_sort(string_split(v.key, '')))"
     return f"""
 WITH s AS (SELECT lower(trim(id)) AS id, arg_max(metadata, loaded_at) AS metadata FROM training_samples WHERE id IS NOT NULL GROUP BY 1),

@@ -52,7 +52,7 @@ def test_take_prefix_equals_sorting(spark):
 def test_sampling_meets_targets_and_reports(spark):
     rows = [sample(f"s{i}", family="adjacency") for i in range(60)] + [sample(f" T{i} ", family=("Buf fer", "BUFFER", "bufefr", "buffer")[i % 4]) for i in range(30)] + [sample(f"u{i}", family="containment") for i in range(10)] + [sample("s1", at=5), sample("n1", family=None), sample(None)]
     targets = spark.createDataFrame([("r", "task_family", "adjacency", 0.2, 1, 0.5), ("r", "task_family", "Buffer", 0.2, 1, 0.5), ("r", "task_family", "containment", 0.6, 1, 0.5), ("r", "task_family", "nothing", 0.0, 3, 0.5), ("e", "nowhere", "x", 0.1, 1, 0.5)], "request_id string, dimension string, category string, target_share double, min_rows long, sample_fraction double")
-    op = sampling.ProportionalSample(frame(spark, rows), targets)
+    op = sampling.ProportionalSample(frame(spark, rows), targets, sampling.TAXONOMY, sampling.ALIASES)
     report = {(r["request_id"], r["category"]): r for r in op.report().collect()}
     assert op.n == 101
     assert report["r", "Buffer"]["have"] == 30 and report["r", "adjacency"]["want"] == 10 and report["r", "containment"]["want"] == 30
@@ -69,9 +69,9 @@ def test_sampling_meets_targets_and_reports(spark):
 
 def test_sampling_of_empty_tables(spark):
     targets = spark.createDataFrame([("r", "task_family", "adjacency", 0.2, 0, 0.5), (None, None, None, None, None, None)], "request_id string, dimension string, category string, target_share double, min_rows long, sample_fraction double")
-    op = sampling.ProportionalSample(frame(spark, []), targets)
+    op = sampling.ProportionalSample(frame(spark, []), targets, sampling.TAXONOMY, sampling.ALIASES)
     assert op.draw().count() == 0 and op.report().where("met").count() == 2
-    op = sampling.ProportionalSample(frame(spark, [sample("a")]), targets.where("false"))
+    op = sampling.ProportionalSample(frame(spark, [sample("a")]), targets.where("false"), sampling.TAXONOMY, sampling.ALIASES)
     assert op.report().count() == 0 and op.draw().count() == 0
 
 
