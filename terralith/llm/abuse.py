@@ -57,6 +57,29 @@ _APART = re.compile(r"(?<!\w)[a-z@$*0-9]([ .\-_/])[a-z@$*0-9]\1[a-z@$*0-9](?:\1[
 _TOKEN = re.compile(rf"[a-z{_SIGNS}!]+")
 
 
+# classes of characters: 1 letters, 2 signs that imitate, 4 separators of letters set apart
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[97:123] = 1
+_CLASS[[ord(c) for c in "0123456789@$+|*#%!"]] = 2
+_CLASS[[ord(c) for c in " .-/"]] = 4
+_CLASS[ord("_")] = 6
+
+
+def _oddities(text: str) -> tuple[bool, bool]:
+    """Whether letters may be set apart, and whether letters stand beside signs or thrice in a row: what the patterns below would look for."""
+    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+    if len(raw) < 2:
+        return False, False
+    kind = _CLASS[raw]
+    letter, sign, gap = kind == 1, kind & 2 > 0, kind & 4 > 0
+    odd = bool(((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])).any())
+    twice = raw[:-1] == raw[1:]
+    odd = odd or bool((twice[:-1] & twice[1:] & letter[2:]).any())
+    part = letter | sign
+    apart = len(raw) > 4 and bool((part[:-4] & gap[1:-3] & part[2:-2] & gap[3:-1] & part[4:]).any())
+    return apart, odd
+
+
 def folded(text: str) -> str:
     """Lower case, without accents, invisible characters, look-alikes and wrongly decoded UTF-8."""
     if _BROKEN.search(text):
@@ -248,12 +271,15 @@ class Decoder:
 
     def restore(self, text: str) -> str:
         """The folded text with every odd token decoded. Tokens as long as an identifier stay, and those of mostly digits that spell no term."""
-        text = _APART.sub(self._joined, text)
+        apart, odd = _oddities(text)
+        if apart:
+            text = _APART.sub(self._joined, text)
+            odd = True
+        if not odd:
+            return text
         spans, end = [], 0
         for finder in (_MIXED, _DRAWN):
             spans += [m.start() for m in finder.finditer(text)]
-        if not spans:
-            return text
         out = []
         for at in sorted(spans):
             if at < end:
