@@ -50,7 +50,6 @@ _SPECIAL = re.compile("[" + "".join(map(chr, _TABLE)) + "]")
 _BROKEN = re.compile("[ÃÂÄÅ][\u0080-¿]")
 # letters with imitating signs among them; letters drawn out; letters set apart
 _SIGNS = r"0-9@$+|€£*_#%"
-_MIXED = re.compile(rf"[a-z][{_SIGNS}!](?=[{_SIGNS}!]*[a-z0-9])|[{_SIGNS}][a-z]|[a-z][{_SIGNS}]")
 _DRAWN = re.compile(r"([a-z])\1\1")
 _LONG = re.compile(r"([a-z])\1{3,}")
 _APART = re.compile(r"(?<!\w)[a-z@$*0-9]([ .\-_/])[a-z@$*0-9]\1[a-z@$*0-9](?:\1[a-z@$*0-9])*(?![\w*])")
@@ -65,19 +64,19 @@ _CLASS[[ord(c) for c in " .-/"]] = 4
 _CLASS[ord("_")] = 6
 
 
-def _oddities(text: str) -> tuple[bool, bool]:
-    """Whether letters may be set apart, and whether letters stand beside signs or thrice in a row: what the patterns below would look for."""
+def _oddities(text: str) -> tuple[bool, list[int]]:
+    """Whether letters may be set apart, and where letters stand beside signs or thrice in a row."""
     raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-    if len(raw) < 2:
-        return False, False
+    if len(raw) < 3:
+        return False, [0] if len(raw) == 2 else []
     kind = _CLASS[raw]
     letter, sign, gap = kind == 1, kind & 2 > 0, kind & 4 > 0
-    odd = bool(((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])).any())
+    odd = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
     twice = raw[:-1] == raw[1:]
-    odd = odd or bool((twice[:-1] & twice[1:] & letter[2:]).any())
+    odd[:-1] |= twice[:-1] & twice[1:] & letter[2:]
     part = letter | sign
     apart = len(raw) > 4 and bool((part[:-4] & gap[1:-3] & part[2:-2] & gap[3:-1] & part[4:]).any())
-    return apart, odd
+    return apart, np.flatnonzero(odd).tolist()
 
 
 def folded(text: str) -> str:
@@ -271,17 +270,14 @@ class Decoder:
 
     def restore(self, text: str) -> str:
         """The folded text with every odd token decoded. Tokens as long as an identifier stay, and those of mostly digits that spell no term."""
-        apart, odd = _oddities(text)
+        apart, spans = _oddities(text)
         if apart:
             text = _APART.sub(self._joined, text)
-            odd = True
-        if not odd:
+            spans = _oddities(text)[1]
+        if not spans:
             return text
-        spans, end = [], 0
-        for finder in (_MIXED, _DRAWN):
-            spans += [m.start() for m in finder.finditer(text)]
-        out = []
-        for at in sorted(spans):
+        out, end = [], 0
+        for at in spans:
             if at < end:
                 continue
             start = at
