@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators import dataset, relations
 from terralith.plans import gateway
+from terralith.session import exists, read_text
 from terralith.sources import gazetteer, io
 
 
@@ -23,6 +23,10 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--config", help="YAML file: countries, sample_targets, auto_scaling")
     parser.add_argument("--samples", help="JSON lines of samples (validate, export), or of expected and predicted texts (evaluate)")
     parser.add_argument("--query", help="question (search)")
+    parser.add_argument("--task", help="sql or places (evaluate)")
+    parser.add_argument("--split", help="train, val or test (evaluate)")
+    parser.add_argument("--label", help="a label that results carry (evaluate)")
+    parser.add_argument("--ids", help="ids of results, with commas between (evaluate)")
     parser.add_argument("--append", action="store_true")
     parser.add_argument("--fresh", action="store_true", help="build relations even if they are there")
     a = parser.parse_args(arguments)
@@ -40,8 +44,13 @@ def main(arguments: list[str] | None = None) -> int:
         gazetteer.register_views(spark, a.data)
         divisions, natural = read("divisions_area"), read("natural_earth")
         items = dataset.work_items(config.get("sample_targets", {"direct_lookup": 4}), config.get("generation", {}).get("retry_multiplier", 2))
-        made = dataset.generate(spark, divisions, natural, items, Draw(divisions, natural, relations.load(spark, a.out)))
-        io.write_jsonl(spark.createDataFrame(made, io.SAMPLE), f"{a.out}/raw.jsonl", a.append)
+        made, outcome = dataset.generate(spark, divisions, natural, items, Draw(divisions, natural, relations.load(spark, a.out)))
+        path = f"{a.out}/raw.jsonl"
+        if a.append and exists(spark, path):
+            start = io.next_sample_number(io.read_samples(spark, path))
+            made = [m | {"id": f"sample_{start + i:06d}"} for i, m in enumerate(made)]
+        io.write_jsonl(spark.createDataFrame(made, io.SAMPLE), path, a.append)
+        io.save_stats(spark, outcome, f"{a.out}/generation.json")
     elif a.command == "normalize-data":
         gazetteer.normalize(spark, a.data, a.out)
     elif a.command == "convert-shapefiles":
@@ -50,17 +59,17 @@ def main(arguments: list[str] | None = None) -> int:
         for source in ("divisions_area", "natural_earth"):
             gazetteer.inventory(read(source), source).write.mode("overwrite").parquet(f"{a.out}/{source}_inventory.parquet")
     elif a.command == "build-relations":
-        countries, mark = config.get("countries"), os.path.join(a.out, "countries.json")
-        built = json.load(open(mark, encoding="utf-8")) if os.path.exists(mark) else None
+        countries, mark = config.get("countries"), f"{a.out}/countries.json"
+        built = json.loads(read_text(spark, mark)) if exists(spark, mark) else None
         if a.fresh or relations.needs_rebuild(built, countries or ["all"]):
             scaling = config.get("auto_scaling", {})
             limits = relations.relation_limits(config.get("sample_targets", {}), config.get("generation", {}).get("retry_multiplier", 2), scaling.get("safety_factor", 1.5), scaling.get("manual_limits"))
             relations.build_all(read("divisions_area"), read("natural_earth"), a.out, countries, relations.capped(limits) if not countries or "all" in countries else limits)
-            io.save_stats(countries or ["all"], mark)
+            io.save_stats(spark, countries or ["all"], mark)
     elif a.command == "validate":
         checked = dataset.validate(io.read_samples(spark, a.samples))
         io.write_jsonl(checked.where("size(issues) = 0").drop("issues"), f"{a.out}/validated.jsonl", a.append)
-        io.save_stats([r.asDict() for r in dataset.statistics(checked.where("size(issues) = 0")).collect()], os.path.join(a.out, "stats.json"))
+        io.save_stats(spark, [r.asDict() for r in dataset.statistics(checked.where("size(issues) = 0")).collect()], f"{a.out}/stats.json")
     elif a.command == "export":
         split = dataset.stratified_split(io.read_samples(spark, a.samples).withColumn("stratum", F.coalesce("metadata.template_id", "metadata.task_family")), "stratum")
         for name in ("train", "val", "test"):
@@ -68,7 +77,8 @@ def main(arguments: list[str] | None = None) -> int:
             io.write_jsonl(dataset.sql_pairs(part).drop("id"), f"{a.out}/sql_{name}.jsonl")
             io.write_jsonl(dataset.place_pairs(part).drop("id"), f"{a.out}/places_{name}.jsonl")
     elif a.command == "evaluate":
-        print(json.dumps(dataset.exact_match(spark.read.json(a.samples)).first().asDict()))
+        results = dataset.evaluated(spark.read.json(a.samples), a.task, a.split, a.label, a.ids.split(",") if a.ids else None)
+        print(json.dumps(dataset.exact_match(results).first().asDict()))
     else:
         gazetteer.register_views(spark, a.data)
         print(json.dumps(gateway.search(spark, a.query or "", read("divisions_area"), read("natural_earth")), ensure_ascii=False, default=str))

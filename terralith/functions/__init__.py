@@ -14,7 +14,7 @@ import subprocess
 import tempfile
 import zipfile
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ SOURCE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))
 _B, _D, _S, _L = T.BinaryType(), T.DoubleType(), T.StringType(), T.BooleanType()
 #: SQL name: class, result, and which arguments are doubles or ints (JVM functions get no implicit casts).
 FUNCTIONS = {
-    "st_intersects": ("Intersects", _L, {}), "st_touches": ("Touches", _L, {}), "st_contains": ("Contains", _L, {}), "st_within": ("Within", _L, {}), "st_crossing": ("Crossing", _L, {}),
+    "st_intersects": ("Intersects", _L, {}), "st_touches": ("Touches", _L, {}), "st_contains": ("Contains", _L, {}), "st_within": ("Within", _L, {}), "st_crossing": ("Crossing", _L, {}), "st_relation": ("Relation", _S, {}),
     "st_area": ("Area", _D, {}), "st_xmin": ("XMin", _D, {}), "st_ymin": ("YMin", _D, {}), "st_xmax": ("XMax", _D, {}), "st_ymax": ("YMax", _D, {}), "st_box": ("Box", T.ArrayType(_D), {}),
     "st_intersection": ("Intersection", _B, {}), "st_difference": ("Difference", _B, {}), "st_buffer": ("Buffer", _B, {1: "double"}),
     "st_makeenvelope": ("MakeEnvelope", _B, {0: "double", 1: "double", 2: "double", 3: "double"}), "st_envelope": ("EnvelopeOf", _B, {}),
@@ -31,6 +31,8 @@ FUNCTIONS = {
     "st_holds_point": ("HoldsPoint", _L, {1: "double", 2: "double"}), "st_cover": ("Cover", T.ArrayType(T.LongType()), {1: "int", 2: "int"}),
     "jaro_winkler_similarity": ("JaroWinkler", _D, {}),
 }
+#: Parts of a table that are united on their own before their unions are.
+UNION_PARTS = 1024
 _REGISTERED: set[str] = set()
 
 
@@ -121,5 +123,13 @@ def call(name: str, *args) -> Column:
 
 
 def st_union_agg(column) -> Column:
-    """Union of a group's geometries; null for a group without any."""
+    """Union of a group's geometries; null for a group without any. For groups of bounded size: all of it meets in one task (see union_of)."""
     return call("st_union_list", F.collect_list(column))
+
+
+def union_of(rows: DataFrame, column: str = "geometry", out: str = "g") -> DataFrame:
+    """One row with the union of all geometries of `rows`, however many: unions of parts, then of these; null without any."""
+    part = rows.select(F.col(column).alias(out), F.pmod(F.xxhash64(column), F.lit(UNION_PARTS)).alias("_part"))
+    for parts in (UNION_PARTS, int(UNION_PARTS**0.5)):
+        part = part.groupBy(F.pmod("_part", F.lit(parts)).alias("_part")).agg(st_union_agg(out).alias(out))
+    return part.agg(st_union_agg(out).alias(out))

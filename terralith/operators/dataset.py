@@ -13,11 +13,18 @@ from terralith.plans.templates import TEMPLATES, by_family
 from terralith.plans.templates import sql as template_sql
 
 SPLITS = (("train", 0.8), ("val", 0.1))  # the rest is test
-# Wording that may stand in for other wording.
-REWORDINGS = {
-    "neighbouring": ["neighboring"], "neighbours": ["neighbors"], "what's": ["what is"], "show me": ["show", "display"], "give me": ["show", "list"], "pull up": ["show", "display"], "find": ["show", "locate"], "kilometers": ["km"], "metres": ["meters"], "recognised": ["recognized"],
-    "share a border with": ["are adjacent to", "are next to"], "adjacent to": ["next to"],
-}
+#: Patterns of questions, by families ("" for all), with what they may become; groups carry over what they hold.
+REWORDINGS = [
+    ("", r"^(?:please )?(?:show|display|draw) (?:me )?(.+?)[.?]?$", ["I need \\1.", "Could you map \\1?", "\\1, please."]),
+    ("", r"^(?:which|what) (\w+) (.+?)\?$", ["List every \\1 that would \\2.", "Tell me the \\1 which \\2."]),
+    ("", r"\bwithin (\d[\d.,]*) (km|kilometres|kilometers) of (.+)$", ["no farther than \\1 \\2 from \\3", "up to \\1 \\2 away from \\3"]),
+    ("adjacency multi_adjacency", r"\b(?:touch|border|adjoin)(es|s)? (.+)$", ["lie right beside \\2", "meet the edge of \\2"]),
+    ("containment chained", r"\b(?:inside|within|in) ([A-Z].+)$", ["that belong to \\1", "enclosed by \\1"]),
+    ("intersection", r"\b(?:crossed by|intersecting|that intersect) (.+)$", ["through which \\1 runs", "that \\1 passes"]),
+    ("buffer border_corridor", r"\b(?:area|zone) (?:around|along) (.+)$", ["surroundings of \\1", "belt about \\1"]),
+    ("aggregation window_function", r"\b(?:largest|biggest) (.+)$", ["most extensive \\1", "\\1 of the greatest area"]),
+    ("difference set_operations partial_selection", r"\bwithout (.+)$", ["leaving out \\1", "minus \\1"]),
+]
 
 
 def candidate_list(divisions: DataFrame, natural: DataFrame, anchors: DataFrame, n: int, anchor_name: str, anchor_source: str, anchor_id: str) -> DataFrame:
@@ -73,7 +80,7 @@ def stratified_split(rows: DataFrame, stratum: str, id_column: str = "id", seed:
 def candidates_csv():
     """The candidates of a sample as CSV text (built-in functions), ordered by a hash so that position tells nothing."""
     cell = lambda c: F.when(c.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
-    fields = ("candidate_id", "source", "id", "name", "subtype", "country", "region", "admin_level")
+    fields = ("source", "id", "name", "subtype", "country", "region", "admin_level")
     shuffled = F.transform(F.array_sort(F.transform("candidates", lambda c: F.struct(F.md5(F.concat(F.col("id"), c["candidate_id"])).alias("h"), c.alias("c")))), lambda s: s["c"])
     lines = F.transform(shuffled, lambda c: F.concat_ws(",", *[cell(c[f].cast("string")) for f in fields]))
     return F.concat(F.lit(",".join(fields) + "\n"), F.array_join(lines, "\n"))
@@ -96,6 +103,51 @@ def place_pairs(samples: DataFrame, system: str = "List the places named in the
     return samples.where(F.size(once) > 0).select("id", F.array(said("system", F.lit(system)), said("user", F.coalesce("question", F.lit(""))), said("assistant", answer)).alias("messages"), "metadata")
 
 
+def user_query(messages):
+    """The question in a conversation: what stands between <USER_QUERY> tags of the last message but one, else its first 120 letters."""
+    content = F.element_at(messages, -2)["content"]
+    inside = F.trim(F.regexp_extract(content, r"(?s).*<USER_QUERY>\s*(.*?)\s*(?:</USER_QUERY>|$)", 1))
+    return F.when(content.contains("<USER_QUERY>"), inside).otherwise(F.substring(content, 1, 120))
+
+
+def evaluated(results: DataFrame, task: str | None = None, split: str | None = None, label: str | None = None, ids: list[str] | None = None) -> DataFrame:
+    """Results of one task, split, label and of the given ids; what is not named does not restrict, and a column that is not there holds nothing."""
+    for name, value in (("task", task), ("split", split), ("label", label)):
+        if value is not None:
+            results = results.where(F.col(name) == value) if name in results.columns else results.limit(0)
+    return results if ids is None else results.where(F.col("id").cast("string").isin(*ids))
+
+
+def one_per_country(candidates: DataFrame, order: str = "position") -> DataFrame:
+    """Of candidates that are countries, the first of each country code; of others, the first of each id; numbered c1, c2, ... anew."""
+    key = F.when((F.col("subtype") == "country") & F.col("country").isNotNull(), F.concat(F.lit("country:"), F.col("country"))).otherwise(F.concat(F.lit("id:"), F.col("id")))
+    from pyspark.sql import Window
+
+    first = candidates.withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(order))).where("_n = 1").drop("_n", "_key")
+    place = F.row_number().over(Window.partitionBy("_one").orderBy(order))  # the candidates of one question
+    return first.withColumn("_one", F.lit(1)).withColumn("candidate_id", F.concat(F.lit("c"), place.cast("string"))).drop("_one")
+
+
+def length_exceedance(lengths: DataFrame, column: str, limits=(1024, 2048, 4096)) -> DataFrame:
+    """Rows longer than each limit, and their share in percent; one pass, counted before anything is shuffled."""
+    n = F.col(column)
+    sums = lengths.where(n.isNotNull()).agg(F.count("*").alias("all"), *[F.count(F.when(n > x, 1)).alias(f"over_{x}") for x in limits])
+    return sums.select("all", F.expr("inline(array(" + ", ".join(f"struct({x} AS upper, over_{x} AS over)" for x in limits) + "))")).select("upper", "over", F.round(100.0 * F.col("over") / F.col("all"), 6).alias("percent"))
+
+
+_CLAUSES = re.compile(r"\s+(?=(?:FROM|WHERE|GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT|UNION(?:\s+ALL)?|(?:LEFT\s+|INNER\s+|CROSS\s+)?JOIN)\b)", re.IGNORECASE)
+_WORDS = "select from where group by having order limit union all join left inner cross on as and or not in exists with is null between like desc asc case when then else end over partition distinct"
+
+
+def pretty_sql(text: str) -> str:
+    """A statement with a clause per line, conditions indented below it, and key words in capitals. Literals and quoted names stay as they are."""
+    parts = re.split(r"""('(?:[^']|'')*'|"[^"]*")""", text.strip())
+    keys = re.compile(r"\b(?:" + "|".join(_WORDS.split()) + r")\b", re.IGNORECASE)
+    plain = "".join(p if i % 2 else keys.sub(lambda m: m[0].upper(), re.sub(r"\s+", " ", p)) for i, p in enumerate(parts))
+    held = re.split(r"""('(?:[^']|'')*'|"[^"]*")""", plain)
+    return "".join(p if i % 2 else re.sub(r"\s+(?=(?:AND|OR)\b)", "\n    ", _CLAUSES.sub("\n", p)) for i, p in enumerate(held))
+
+
 def exact_match(results: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
     """One row: samples, exact matches of trimmed texts, and their rate (0 for none)."""
     same = F.coalesce(F.trim(expected) == F.trim(predicted), F.lit(False)).cast("int")
@@ -145,36 +197,40 @@ def reword(question: str, family: str, key: str) -> tuple[str, list[str]]:
         return question, []
     done = []
     for step in range(1 + (roll // 100) % 2):
-        fits = [(a, b) for a, bs in REWORDINGS.items() for b in bs if re.search(rf"\b{re.escape(a)}\b", question, re.IGNORECASE)]
+        fits = [(pattern, put) for of, pattern, puts in REWORDINGS if not of or family in of.split() for put in puts if re.search(pattern, question, re.IGNORECASE)]
         if not fits:
             break
-        a, b = fits[(roll // 1000 + step) % len(fits)]
-        question = re.sub(r"\s+", " ", re.sub(rf"\b{re.escape(a)}\b", b, question, count=1, flags=re.IGNORECASE)).strip()
-        done.append(f"{family}:{a}")
+        pattern, put = fits[(roll // 1000 + step) % len(fits)]
+        question = re.sub(r"\s+", " ", re.sub(pattern, put, question, count=1, flags=re.IGNORECASE)).strip()
+        done.append(f"{family}:{pattern}")
     return question, done
 
 
-def generate(spark, divisions: DataFrame, natural: DataFrame, items: list[tuple[str, str, str]], draw, n_candidates: int = 5) -> list[dict]:
-    """Samples for work items: draws parameters, writes the statement, runs it and keeps what gives rows.
+def generate(spark, divisions: DataFrame, natural: DataFrame, items: list[tuple[str, str, str]], draw, n_candidates: int = 5) -> tuple[list[dict], dict]:
+    """Samples for work items, and how the run went: draws parameters, writes the statement, runs it and keeps what gives rows.
 
     `draw(template, sample_id)` gives (question, parameters, anchors: list of (source, id, name)) or None; if it has `prepare`,
-    that is given all items first. The statement runs on the registered views; failures and empty results are dropped, as the caller tries more items than it needs.
+    that is given all items first. The statement runs on the registered views; failures and empty results are counted (tried, made, undrawn, failed, empty, rate), as the caller tries more items than it needs.
     """
     from terralith.plans import gateway
 
     if hasattr(draw, "prepare"):
         draw.prepare(items)
-    out = []
+    out, outcome = [], {"tried": 0, "undrawn": 0, "failed": 0, "empty": 0}
     for family, template_id, sample_id in items:
+        outcome["tried"] += 1
         drawn = draw(TEMPLATES[template_id], sample_id)
         if drawn is None:
+            outcome["undrawn"] += 1
             continue
         question, parameters, anchors = drawn
         statement = template_sql(template_id, **parameters)
         try:
             if gateway.run(spark, statement).limit(1).isEmpty():
+                outcome["empty"] += 1
                 continue
         except Exception:
+            outcome["failed"] += 1
             continue
         source, anchor_id, name = anchors[0]
         wanted = {(s, i) for s, i, _ in anchors}
@@ -186,6 +242,6 @@ def generate(spark, divisions: DataFrame, natural: DataFrame, items: list[tuple[
         t = TEMPLATES[template_id]
         sources = {s for s, _ in wanted}
         out.append({"id": sample_id, "question": text, "candidates": candidates, "target": {"selected_candidates": chosen, "sql": statement}, "metadata": {"task_family": family, "sql_difficulty": t.difficulty, "grounding_difficulty": "easy" if len(anchors) == 1 else "medium", "template_id": template_id, "num_candidates": len(candidates), "anchor_source": sources.pop() if len(sources) == 1 else "mixed", "sql_verified": True, "surface_variants": variants}})
-    return out
+    return out, outcome | {"made": len(out), "rate": round(len(out) / len(items), 6) if items else 0.0}
 
 

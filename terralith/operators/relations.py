@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions import call
+from terralith.operators.joins import salted_join
 from terralith.operators.spatial_join import spatial_join, spatial_pairs
+from terralith.session import exists
 from terralith.sources.gazetteer import NATURAL_SUBTYPES
 
 # Containment combinations, and default row limits of the tables.
 CONTAINMENT = (("country", "region"), ("country", "county"), ("region", "county"))
 LIMITS = {"adjacency": 50_000, "containment": 3_000, "intersection": 3_000, "cross_source": 1_800, "coastal_containment": 3_000, "landlocked_containment": 1_500, "common_neighbor": 5_000}
 FALLBACK_LIMIT = 500
+#: Rows of a containment combination when all countries are asked for.
+MOST_PER_COMBINATION = 1_500
 SEA = ("sea", "ocean")
 
 
@@ -52,8 +56,9 @@ def containment(divisions: DataFrame, countries=None, per_combination: int | Non
     return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_combination).drop("_n")
 
 
-def per_combination_limit(limit: int, combinations: int, least: int) -> int:
-    return max(limit // combinations, least)
+def per_combination_limit(limit: int, combinations: int, least: int, most: int | None = None) -> int:
+    share = max(limit // combinations, least)
+    return share if most is None else min(share, most)
 
 
 def sea_features(natural: DataFrame) -> DataFrame:
@@ -85,8 +90,8 @@ def cross_source(divisions: DataFrame, natural: DataFrame, countries=None, per_c
     d = _named(divisions, countries).where("subtype in ('country', 'region', 'county')")
     n = _named(natural).where(F.col("subtype").isin(*NATURAL_SUBTYPES))
     a, b = "l_geometry", "r_geometry"
-    kind = F.when(call("st_touches", a, b), "touches").when(call("st_within", a, b), "within").when(call("st_contains", a, b), "contains").otherwise("intersects")
-    pairs = spatial_pairs(d, n, "intersects")
+    pairs = spatial_pairs(d, n, "boxes").withColumn("_kind", call("st_relation", a, b)).where("_kind is not null")
+    kind = F.col("_kind")
     out = pairs.select(*[F.col(f"l_{c}").alias(f"division_{c}") for c in ("id", "name", "subtype", "country")], *[F.col(f"r_{c}").alias(f"natural_{c}") for c in ("id", "name", "subtype")], kind.alias("relation_type"))
     if per_combination is None:
         return out
@@ -99,30 +104,32 @@ def common_neighbor(adjacent: DataFrame, limit: int | None = None) -> DataFrame:
     side = lambda a, t: adjacent.select(*[F.col(f"{a}_{c}").alias(f"a_{c}") for c in ("id", "name", "subtype")], *[F.col(f"{t}_{c}").alias(f"s_{c}") for c in ("id", "name", "subtype")])
     edges = side("anchor", "target").unionByName(side("target", "anchor"))
     one, two = [edges.select(*[F.col(f"a_{c}").alias(f"anchor_{c}_{i}") for c in ("id", "name", "subtype")], *([F.col(f"s_{c}").alias(f"shared_neighbor_{c}") for c in ("id", "name", "subtype")] if i == 1 else [F.col("s_id").alias("shared_neighbor_id")])) for i in (1, 2)]
-    out = one.join(two, "shared_neighbor_id").where("anchor_id_1 < anchor_id_2").select(*[f"anchor_{c}_{i}" for i in (1, 2) for c in ("id", "name", "subtype")], *[f"shared_neighbor_{c}" for c in ("id", "name", "subtype")]).distinct()
+    # a country or an ocean may touch a great part of all features
+    out = salted_join(one, two, "shared_neighbor_id").where("anchor_id_1 < anchor_id_2").select(*[f"anchor_{c}_{i}" for i in (1, 2) for c in ("id", "name", "subtype")], *[f"shared_neighbor_{c}" for c in ("id", "name", "subtype")]).distinct()
     return _first(out, limit, "anchor_id_1", "anchor_id_2", "shared_neighbor_id")
 
 
 RELATIONS = ("adjacency", "containment", "intersection", "cross_source", "coastal_containment", "landlocked_containment", "common_neighbor")
 # Which relations a family of questions draws its anchors from.
 FAMILY_RELATIONS = {
-    "disambiguation": ("containment",), "adjacency": ("adjacency", "cross_source"), "multi_adjacency": ("common_neighbor",), "containment": ("containment", "cross_source"), "intersection": ("intersection", "cross_source"), "chained": ("containment", "coastal_containment", "landlocked_containment"),
-    "difference": ("intersection", "cross_source"), "border_corridor": ("adjacency",), "set_operations": ("adjacency", "containment"), "partial_selection": ("cross_source",), "aggregation": ("containment",),
+    "direct_lookup": (), "adjacency": ("adjacency",), "multi_adjacency": ("adjacency", "common_neighbor"), "containment": ("containment",), "intersection": ("intersection", "cross_source"), "buffer": ("adjacency",),
+    "chained": ("coastal_containment", "landlocked_containment", "containment"), "difference": ("containment", "cross_source"), "border_corridor": ("adjacency",), "set_operations": ("containment", "cross_source"),
+    "partial_selection": ("containment", "cross_source"), "aggregation": ("containment",), "window_function": (), "attribute_filter": (),
 }
 
 
 def relation_limits(targets: dict[str, int], retry: float = 2.0, safety: float = 1.5, manual: dict[str, int] | None = None) -> dict[str, int]:
-    """Rows each relation needs for so many wanted samples per family; relations nobody draws from get the fallback, manual limits win."""
+    """Rows each relation needs for so many wanted samples per family; relations nobody draws from get the fallback, manual limits win.
+
+    Common neighbours come from the adjacency table, so their limit is three times its where no family asks for them.
+    """
     need: dict[str, int] = {}
     for family, target in targets.items():
         for relation in FAMILY_RELATIONS.get(family, ()):
             need[relation] = need.get(relation, 0) + int(target * retry * safety)
-    if "common_neighbor" in need and "adjacency" not in need:
-        need["adjacency"] = need["common_neighbor"]
-    out = {r: need.get(r, FALLBACK_LIMIT) for r in RELATIONS}
-    if "common_neighbor" not in need:
-        out["common_neighbor"] = max(FALLBACK_LIMIT, 3 * out["adjacency"])
-    return out | (manual or {})
+    if "adjacency" in need:
+        need.setdefault("common_neighbor", 3 * need["adjacency"])
+    return {r: need.get(r, FALLBACK_LIMIT) for r in RELATIONS} | (manual or {})
 
 
 def capped(limits: dict[str, int]) -> dict[str, int]:
@@ -133,14 +140,15 @@ def capped(limits: dict[str, int]) -> dict[str, int]:
 
 def build(divisions: DataFrame, natural: DataFrame, relation: str, countries=None, limit: int | None = None, adjacent: DataFrame | None = None) -> DataFrame:
     """One relation table by name. ValueError for an unknown name."""
+    most = MOST_PER_COMBINATION if countries and list(countries) == ["all"] else None
     if relation == "adjacency":
         return adjacency(divisions, countries, limit)
     if relation == "containment":
-        return containment(divisions, countries, limit and per_combination_limit(limit, 3, 100))
+        return containment(divisions, countries, limit and per_combination_limit(limit, 3, 100, most))
     if relation == "coastal_containment":
-        return coastal_containment(divisions, natural, countries, limit and per_combination_limit(limit, 3, 100))
+        return coastal_containment(divisions, natural, countries, limit and per_combination_limit(limit, 3, 100, most))
     if relation == "landlocked_containment":
-        return landlocked_containment(divisions, natural, countries, limit and per_combination_limit(limit, 3, 100))
+        return landlocked_containment(divisions, natural, countries, limit and per_combination_limit(limit, 3, 100, most))
     if relation == "intersection":
         return intersection(divisions, countries, limit)
     if relation == "cross_source":
@@ -159,10 +167,9 @@ def build_all(divisions: DataFrame, natural: DataFrame, out: str, countries=None
 
 
 def load(spark, folder: str) -> dict[str, DataFrame]:
-    """All relation tables of a folder that exist, by name."""
-    import os
-
-    return {name[: -len(".parquet")]: spark.read.parquet(os.path.join(folder, name)) for name in sorted(os.listdir(folder)) if name.endswith(".parquet")}
+    """All relation tables of a folder that exist, by name; the folder may lie on any store."""
+    paths = {name: f"{folder.rstrip('/')}/{name}.parquet" for name in RELATIONS}
+    return {name: spark.read.parquet(path) for name, path in paths.items() if exists(spark, path)}
 
 
 def needs_rebuild(built: list[str] | None, wanted: list[str]) -> bool:

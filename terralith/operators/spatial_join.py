@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from terralith.functions import call, register
 from terralith.operators.joins import salted_join
-from terralith.session import small
 from terralith.sources.gazetteer import BOX, with_box
 
 #: Side of a cell at level 0 and the number of levels.
 BASE, DEEPEST = 1024.0, 24
-#: A side of at most so many rows is broadcast.
-BROADCAST_ROWS = 1_000
+#: A side of at most so many rows, and bytes of geometry, is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000, 32 << 20
 
 #: Predicates of (left, right): whether the boxes must overlap, and the exact test.
 PREDICATES = {
@@ -29,6 +28,7 @@ PREDICATES = {
     "within": lambda a, b: call("st_within", a, b),
     "contains": lambda a, b: call("st_contains", a, b),
     "overlaps": lambda a, b: call("st_crossing", a, b),
+    "boxes": lambda a, b: F.lit(True),
 }
 
 
@@ -54,6 +54,12 @@ def _cells(df: DataFrame, p: str, levels: str) -> DataFrame:
     return df.withColumn("_cell", F.concat_ws("/", "_level", "_x", "_y"))
 
 
+def _fits(side: DataFrame, p: str) -> bool:
+    """Whether a side is small enough to be broadcast; looks no further than BROADCAST_ROWS rows."""
+    rows, size = side.select(F.octet_length(f"{p}geometry").alias("b")).limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def spatial_pairs(left: DataFrame, right: DataFrame, predicate: str, condition: Column | None = None) -> DataFrame:
     """Inner join: columns of `left` prefixed l_, of `right` prefixed r_. Both need geometry; boxes are added if missing.
 
@@ -68,9 +74,9 @@ def spatial_pairs(left: DataFrame, right: DataFrame, predicate: str, condition:
     if condition is not None:
         test = test & condition
     exact = PREDICATES[predicate]("l_geometry", "r_geometry")
-    if small(rs.select("r_xmin"), BROADCAST_ROWS):
+    if _fits(rs, "r_"):
         return ls.join(F.broadcast(rs), test & exact)
-    if small(ls.select("l_xmin"), BROADCAST_ROWS):
+    if _fits(ls, "l_"):
         return rs.join(F.broadcast(ls), test & exact)
     ls, rs = ls.withColumn("_own", _level("l_")), rs.withColumn("_own", _level("r_"))
     used = {s: sorted(r[0] for r in df.select("_own").distinct().collect()) for s, df in (("l", ls), ("r", rs))}  # at most DEEPEST + 1 numbers

@@ -12,8 +12,8 @@ from terralith.sources import boxes
 _METRES = 256036.0
 _DEGREES = 2.3
 _ANCHORS = {
-    "adj_03": ("n7",), "adj_05": ("r2",), "contain_02": ("c7",), "contain_03": ("r2",), "chained_03": ("r2",), "chained_04": ("r2",), "chained_05": ("r2",), "chained_10": ("r2",), "chained_11": ("r2",), "chained_12": ("r2",), "chained_13": ("r2",),
-    "multi_adj_01": ("n2", "n12"), "multi_adj_02": ("r1", "r3"), "multi_adj_03": ("n7", "n12"), "diff_01": ("r2", "n7"), "diff_02": ("n8", "ne_11"), "corridor_01": ("n7", "n12"), "partial_05": ("n8", "ne_11"), "buffer_04": ("r2",), "intersect_01": ("n7",),
+    "adj_03": ("n7",), "adj_05": ("r2",), "contain_02": ("c7",), "contain_03": ("r2",), "chained_03": ("r2",), "chained_04": ("r2",), "chained_05": ("r2",), "chained_10": ("r2",), "chained_11": ("r3",), "chained_12": ("r2",), "chained_13": ("r2",),
+    "multi_adj_01": ("n2", "n12"), "multi_adj_02": ("r1", "r3"), "multi_adj_03": ("c1006", "c1023"), "contain_04": ("ne_56",), "diff_01": ("r2", "n7"), "diff_02": ("n8", "ne_11"), "corridor_01": ("n7", "n12"), "partial_05": ("n8", "ne_11"), "buffer_04": ("r2",), "intersect_01": ("n7",),
 }
 
 

@@ -32,9 +32,16 @@ def feature_rows(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), properties, F.lit("}")).alias("feature"))
 
 
-def to_feature_collection(df: DataFrame) -> dict:
-    """A FeatureCollection of a (small) final result; larger ones are written by write_features."""
-    return {"type": "FeatureCollection", "features": [json.loads(r["feature"]) for r in feature_rows(df).collect()]}
+#: Features that a collection in memory may have.
+MOST_FEATURES = 50_000
+
+
+def to_feature_collection(df: DataFrame, most: int = MOST_FEATURES) -> dict:
+    """A FeatureCollection of a final result of at most `most` rows. A larger one is no answer to show: it raises, and is written by write_features."""
+    rows = feature_rows(df).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} features; write them with write_features")
+    return {"type": "FeatureCollection", "features": [json.loads(r["feature"]) for r in rows]}
 
 
 def write_features(df: DataFrame, folder: str) -> None:

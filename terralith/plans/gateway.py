@@ -8,6 +8,7 @@ SELECT is refused, and anything the rules don't cover fails in Spark's parser an
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralith.functions import call, register
+from terralith.operators.spatial_join import spatial_join
 from terralith.operators.search import candidates_per_source, merge_candidates, search_candidates
 from terralith.plans import export
 from terralith.plans.templates import sql as template_sql
@@ -93,7 +95,8 @@ def _order(text: str) -> str:
 def translate(text: str) -> str:
     """The text in Spark's dialect. Raises Refused if it isn't one read-only query."""
     text = strip_fences(text)
-    text = re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.DOTALL)
+    # what looks like a comment inside a literal or a quoted name is none
+    text = re.sub(r"""'(?:[^']|'')*'|"[^"]*"|--[^\n]*|/\*.*?\*/""", lambda m: m[0] if m[0][0] in "'\"" else " ", text, flags=re.DOTALL)
     text = re.sub(r"""read_parquet\s*\(\s*['"][^'"]*divisions?_area[^'"]*['"]\s*\)""", "divisions_area", text, flags=re.IGNORECASE)
     text = re.sub(r"""read_parquet\s*\(\s*['"][^'"]*natural_earth[^'"]*['"]\s*\)""", "natural_earth", text, flags=re.IGNORECASE)
     for word in CAPITALISED:
@@ -129,7 +132,37 @@ def translate(text: str) -> str:
 def run(spark, text: str) -> DataFrame:
     """The query's rows; views of the sources must be registered (see gazetteer.register_views). Raises what Spark's analysis raises."""
     register(spark)
-    return spark.sql(translate(text))
+    return spark.sql(_through_grid(spark, translate(text)))
+
+
+_EXISTS = re.compile(
+    r"\b(?P<no>NOT\s+)?EXISTS\s*\(\s*SELECT\s+\S+\s+FROM\s+(?P<inner>divisions_area|natural_earth)\s+(?:AS\s+)?(?P<i>\w+)\s+WHERE\s+(?:(?P<more>[^;]*?)\s+AND\s+)?ST_(?P<how>Intersects|Touches|Within|Contains)\s*\(\s*(?P<a>\w+)\.geometry\s*,\s*(?P<b>\w+)\.geometry\s*\)\s*\)",
+    re.IGNORECASE,
+)
+_TURNED = {"intersects": "intersects", "touches": "touches", "within": "contains", "contains": "within"}
+
+
+def _through_grid(spark, text: str) -> str:
+    """Spatial semi- and anti-joins of two sources go through the grid join; the text then joins its keys by equality.
+
+    As written they would run every row of one source against every row of the other. Conditions on the inner source stay with
+    it; a condition that also names another table leaves the text as it is.
+    """
+    aliases = {m[2].lower(): m[1].lower() for m in re.finditer(r"\b(divisions_area|natural_earth)\s+(?:AS\s+)?(?!WHERE\b|ON\b|JOIN\b|ORDER\b|GROUP\b|LIMIT\b|UNION\b)(\w+)", text, re.IGNORECASE)}
+
+    def put(m: re.Match) -> str:
+        inner, a, b, how = m["i"].lower(), m["a"].lower(), m["b"].lower(), m["how"].lower()
+        outer = b if a == inner else a
+        named = {x.lower() for x in re.findall(r"\b(\w+)\s*\.", m["more"] or "")}
+        if inner == outer or inner not in (a, b) or outer not in aliases or not named <= {inner, "names"} or (m["more"] or "").count("(") != (m["more"] or "").count(")"):
+            return m[0]
+        kept = spark.sql(f"SELECT geometry, xmin, ymin, xmax, ymax FROM {m['inner']} AS {m['i']} WHERE {m['more'] or 'true'}")
+        rows = spark.sql(f"SELECT id, geometry, xmin, ymin, xmax, ymax FROM {aliases[outer]}")
+        view = f"_met_{uuid.uuid4().hex}"
+        spatial_join(rows, kept, how if a == outer else _TURNED[how], "left_semi").select("id").distinct().createOrReplaceTempView(view)
+        return f"{m['no'] or ''}EXISTS (SELECT 1 FROM {view} WHERE {view}.id = {outer}.id)"
+
+    return _EXISTS.sub(put, text)
 
 
 def normalized_geometry(df: DataFrame, tolerance: float = 0.001, digits: int = 5) -> DataFrame:
@@ -157,11 +190,14 @@ def default_sql(question: str, candidates: list[dict], previous: str | None, err
     return template_sql("lookup_01" if best["source"] == "divisions_area" else "lookup_02", anchor1=best["id"])
 
 
-def search_events(spark, question: str, divisions: DataFrame, natural: DataFrame, places: Callable[[str], list[str]] = default_places, write_sql: Callable = default_sql, attempts: int = ATTEMPTS) -> Iterator[dict]:
+def search_events(spark, question: str, divisions: DataFrame, natural: DataFrame, places: Callable[[str], list[str]] = default_places, write_sql: Callable = default_sql, attempts: int = ATTEMPTS, ready: Callable[[], bool] | None = None) -> Iterator[dict]:
     """Answers a question step by step: events of type places, candidates, sql_attempt, sql_error, and at last geojson or error.
 
-    An empty result counts as an error and is fed back; an exception of the writer uses an attempt up.
+    An empty result counts as an error and is fed back; an exception of the writer uses an attempt up. `ready` says whether the
+    writers can answer at once; if not, an event warming_up comes first.
     """
+    if ready is not None and not ready():
+        yield {"type": "warming_up", "data": "The model that writes queries is starting"}
     try:
         named = [p for p in places(question) if p and p.strip()] or [question]
     except Exception:  # an extractor that fails leaves the question as one place

@@ -141,17 +141,35 @@ def candidate_lookup(spark, d):
     return picked.where("c is not null").groupBy(F.col("c.source").alias("source"), F.col("c.subtype").alias("subtype")).agg(F.count("*").alias("selected"))
 
 
+def _emitted(rows):
+    """Rows of a statement with its GeoJSON read back."""
+    g = call("st_geomfromgeojson", "geometry")
+    return rows.select("id", "name", "subtype", "country", F.round(call("st_area", g), 6).alias("area"), call("st_xmin", g).alias("xmin"), call("st_ymax", g).alias("ymax"))
+
+
+def length_over(spark, d):
+    """Texts longer than each limit."""
+    return dataset.length_exceedance(table(spark, d, "documents").select(F.length("text").alias("n")), "n").select("upper", F.col("over").alias("rows"), "percent")
+
+
+def country_candidates(spark, d):
+    """Candidates of which those that are countries stand once for each code."""
+    a = boxes.divisions(spark, d).where(F.col("subtype").isin("country", "region"))
+    rows = a.select("id", "subtype", "country").withColumn("position", F.col("id"))
+    return dataset.one_per_country(rows).select("candidate_id", "id", "subtype", "country")
+
+
 def gateway_sql(spark, d):
     """A template's text, in the foreign dialect, through the gateway."""
     boxes.divisions(spark, d).createOrReplaceTempView("divisions_area")
     boxes.natural(spark, d).createOrReplaceTempView("natural_earth")
-    return gateway.run(spark, template_sql("chained_08", anchor1="n7")).select("id", "name", "subtype", "country")
+    return _emitted(gateway.run(spark, template_sql("chained_08", anchor1="n7")))
 
 
 def gateway_top(spark, d):
     boxes.divisions(spark, d).createOrReplaceTempView("divisions_area")
     boxes.natural(spark, d).createOrReplaceTempView("natural_earth")
-    return gateway.run(spark, template_sql("agg_03", subtype="region", n=7, country="R2")).select("id", "name", "subtype", "country")
+    return _emitted(gateway.run(spark, template_sql("agg_03", subtype="region", n=7, country="R2")))
 
 
 def feature_export(spark, d):
@@ -175,7 +193,7 @@ def simplified_geojson(spark, d):
 
 
 NAMES = ("fuzzy_divisions fuzzy_natural fuzzy_two_sources merged distractor_rank interleaved similarity_scores inventory_divisions inventory_natural inventory_counts normalized_divisions normalized_natural sampled_anchors distinct_countries dataset_validation dataset_statistics dataset_coverage dataset_split "
-         "dataset_sql_pairs dataset_place_pairs evaluation length_percentiles length_buckets source_counts event_properties candidate_lookup gateway_sql gateway_top feature_export collection_bounds simplified_geojson").split()
+         "dataset_sql_pairs dataset_place_pairs evaluation length_percentiles length_buckets source_counts length_over country_candidates event_properties candidate_lookup gateway_sql gateway_top feature_export collection_bounds simplified_geojson").split()
 
 
 def queries() -> dict:
@@ -241,8 +259,10 @@ def oracle_sql() -> dict:
         "source_counts": "SELECT source, lang, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY 1, 2",
         "event_properties": "SELECT event_type, count(*) AS events, min(k) AS least, max(k) AS most, CAST(sum(k) AS BIGINT) AS total FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
         "candidate_lookup": "SELECT c.source AS source, c.subtype AS subtype, count(*) AS selected FROM (SELECT list_filter(candidates, lambda c: c.candidate_id = x)[1] AS c FROM (SELECT candidates, unnest(target.selected_candidates) AS x FROM training_samples)) WHERE c IS NOT NULL GROUP BY 1, 2",
-        "gateway_sql": f"WITH {template}, a AS (SELECT * FROM d WHERE id = 'n7') SELECT b.id, b.name, b.subtype, b.country FROM d AS b, a WHERE b.subtype = 'county' AND b.x0 >= a.x0 AND b.x1 <= a.x1 AND b.y0 >= a.y0 AND b.y1 <= a.y1 AND EXISTS (SELECT 1 FROM n WHERE n.subtype IN ('river', 'lake', 'basin') AND n.x0 <= b.x1 AND b.x0 <= n.x1 AND n.y0 <= b.y1 AND b.y0 <= n.y1)",
-        "gateway_top": f"WITH {template} SELECT id, name, subtype, country FROM d WHERE subtype = 'region' AND country = 'R2' ORDER BY (x1 - x0) * (y1 - y0) DESC, id LIMIT 7",
+        "gateway_sql": f"WITH {template}, a AS (SELECT * FROM d WHERE id = 'n7') SELECT b.id, b.name, b.subtype, b.country, round((b.x1 - b.x0) * (b.y1 - b.y0), 6) AS area, b.x0 AS xmin, b.y1 AS ymax FROM d AS b, a WHERE b.subtype = 'county' AND b.x0 >= a.x0 AND b.x1 <= a.x1 AND b.y0 >= a.y0 AND b.y1 <= a.y1 AND EXISTS (SELECT 1 FROM n WHERE n.subtype IN ('river', 'lake', 'basin') AND n.x0 <= b.x1 AND b.x0 <= n.x1 AND n.y0 <= b.y1 AND b.y0 <= n.y1)",
+        "length_over": "WITH l AS (SELECT length(text) AS v FROM documents WHERE text IS NOT NULL), t AS (SELECT CAST(unnest([1024, 2048, 4096]) AS INTEGER) AS upper) SELECT upper, count(*) FILTER (v > upper) AS rows, round(100.0 * count(*) FILTER (v > upper) / count(*), 6) AS percent FROM t, l GROUP BY upper",
+        "country_candidates": f"WITH {template}, k AS (SELECT id, subtype, country, row_number() OVER (PARTITION BY CASE WHEN subtype = 'country' THEN 'c:' || country ELSE 'i:' || id END ORDER BY id) AS r FROM d WHERE subtype IN ('country', 'region')) SELECT 'c' || row_number() OVER (ORDER BY id) AS candidate_id, id, subtype, country FROM k WHERE r = 1",
+        "gateway_top": f"WITH {template} SELECT id, name, subtype, country, round((x1 - x0) * (y1 - y0), 6) AS area, x0 AS xmin, y1 AS ymax FROM d WHERE subtype = 'region' AND country = 'R2' ORDER BY (x1 - x0) * (y1 - y0) DESC, id LIMIT 7",
         "feature_export": f"WITH {template} SELECT id, country, round((x1 - x0) * (y1 - y0), 6) AS area, x0 AS xmin, y1 AS ymax FROM n",
         "collection_bounds": f"WITH {template} SELECT min(x0) AS xmin, min(y0) AS ymin, max(x1) AS xmax, max(y1) AS ymax, round(greatest(0, least(18, log2(360 / greatest(max(x1) - min(x0), max(y1) - min(y0))) - 0.8)), 6) AS zoom FROM n",
     }

@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.functions import call, register, st_union_agg
+from terralith.functions import call, register, st_union_agg, union_of
+from terralith.operators.spatial_join import spatial_join
 from terralith.sources.gazetteer import BOX, with_box
 
 DA, NE = "divisions_area", "natural_earth"
@@ -206,8 +207,9 @@ class Plan:
         if t.options["other"]:
             rows = rows.where(F.col("id") != p["anchor1"])
         rows = self._related(rows, self._anchor(t.anchors[0], p["anchor1"]), t.options["how"])
-        n = self.sources[NE].where(F.col("subtype").isin(*t.options["meets"])).select(F.col("geometry").alias("n_geometry"), *[F.col(c).alias(f"n_{c}") for c in BOX])
-        return self._out(t, rows.join(n, self._meets("n_") & call("st_intersects", "geometry", "n_geometry"), "left_anti" if t.options["negated"] else "left_semi"))
+        rows = rows.drop("a_geometry", *[f"a_{c}" for c in BOX])
+        n = self.sources[NE].where(F.col("subtype").isin(*t.options["meets"])).select("geometry", *BOX)
+        return self._out(t, spatial_join(rows, n, "intersects", "left_anti" if t.options["negated"] else "left_semi"))
 
     def _pair(self, t, p):
         a, b = self._anchor(t.anchors[0], p["anchor1"], "a_"), self._anchor(t.anchors[1], p["anchor2"], "b_")
@@ -227,7 +229,7 @@ class Plan:
 
     def _union_within(self, t, p):
         rows = self._related(self._rows(t), self._anchor(t.anchors[0], p["anchor1"]), t.options["how"])
-        return rows.agg(st_union_agg("geometry").alias("g")).select(*self.emit("g"))
+        return union_of(rows).select(*self.emit("g"))
 
     def _countries(self, t, p):
         return self._out(t, self._rows(t).where(F.col("country").isin(*p["countries"])))

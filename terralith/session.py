@@ -46,6 +46,31 @@ def cut(df: DataFrame, iterated: bool = False) -> DataFrame:
         spark.conf.unset(name)
 
 
+def _file(spark: SparkSession, path: str):
+    """File system and path object of a path on whatever store it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _file(spark, path)
+    return store.exists(where)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file (statistics, a mark), overwritten if it is there."""
+    store, where = _file(spark, path)
+    out = store.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one row
+
+
 def small(df: DataFrame, most_rows: int) -> bool:
     """Whether `df` has at most `most_rows` rows; counts no further than that."""
     return df.limit(most_rows + 1).count() <= most_rows

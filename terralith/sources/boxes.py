@@ -1,4 +1,7 @@
-"""A gazetteer of axis-aligned boxes derived from the star-schema tables: every spatial answer is plain arithmetic too."""
+"""A gazetteer of axis-aligned boxes derived from the star-schema tables: every spatial answer is plain arithmetic too.
+
+Seas and oceans lie in the western half, so that there are landlocked divisions; some oceans are wide enough to hold whole regions.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,9 @@ from terralith.session import table
 
 NATURAL = ("ocean", "sea", "river", "lake", "basin", "range/mtn", "plateau", "depression")
 
+#: Oceans that hold whole regions.
+WIDE = "p_partkey % 8 = 0 AND p_size = 50"
+
 #: The same features for an engine without spatial functions: CTEs d (divisions) and n (natural features) with box corners.
 SQL = f"""
 nat AS (SELECT *, 128 * n_regionkey + 16 * (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS x0 FROM nation),
@@ -20,7 +26,9 @@ d AS (
   UNION ALL SELECT 'c' || c_custkey, c_name, 'county', 'R' || n_regionkey, 'R' || n_regionkey || '-' || n_nationkey, 2, c_custkey % 2 = 0, c_custkey % 3 = 0,
          x0 + c_custkey % 16, (c_custkey // 16) % 128, x0 + c_custkey % 16 + 1, (c_custkey // 16) % 128 + 1 FROM customer JOIN nat ON c_nationkey = n_nationkey),
 n AS (SELECT 'ne_' || p_partkey AS id, p_name AS name, ['{"', '".join(NATURAL)}'][CAST(p_partkey % 8 + 1 AS INTEGER)] AS subtype, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS region, CAST(NULL AS INTEGER) AS admin_level, p_partkey % 8 > 1 AS is_land, CAST(NULL AS BOOLEAN) AS is_territorial,
-         CAST((37 * p_partkey) % 640 AS DOUBLE) AS x0, CAST((53 * p_partkey) % 128 AS DOUBLE) AS y0, CAST((37 * p_partkey) % 640 + 1 + p_size % 16 AS DOUBLE) AS x1, CAST((53 * p_partkey) % 128 + 1 + p_size % 8 AS DOUBLE) AS y1 FROM part)
+         CAST(CASE WHEN {WIDE} THEN (37 * p_partkey) % 320 // 16 * 16 WHEN p_partkey % 8 < 2 THEN (37 * p_partkey) % 320 ELSE (37 * p_partkey) % 640 END AS DOUBLE) AS x0, CAST(CASE WHEN {WIDE} THEN 0 ELSE (53 * p_partkey) % 128 END AS DOUBLE) AS y0,
+         CAST(CASE WHEN {WIDE} THEN (37 * p_partkey) % 320 // 16 * 16 + 32 ELSE (37 * p_partkey) % CASE WHEN p_partkey % 8 < 2 THEN 320 ELSE 640 END + 1 + p_size % 16 END AS DOUBLE) AS x1,
+         CAST(CASE WHEN {WIDE} THEN 128 ELSE (53 * p_partkey) % 128 + 1 + p_size % 8 END AS DOUBLE) AS y1 FROM part)
 """.strip().replace('["', "['").replace('"', "'")
 
 
@@ -56,7 +64,7 @@ def natural(spark, directory: str) -> DataFrame:
     df = part.select(
         F.expr("concat('ne_', p_partkey)").alias("id"), F.lit("boxes").alias("source_layer"), F.struct(F.col("p_name").alias("primary"), F.col("p_name").alias("en")).alias("names"), F.get(kinds, (F.col("p_partkey") % 8).cast("int")).alias("subtype"), F.lit(None).cast("string").alias("class"),
         F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("int").alias("admin_level"), F.expr("p_partkey % 8 > 1").alias("is_land"), F.lit(None).cast("boolean").alias("is_territorial"),
-        F.expr("cast((37 * p_partkey) % 640 as double)").alias("xmin"), F.expr("cast((53 * p_partkey) % 128 as double)").alias("ymin"),
-        F.expr("cast((37 * p_partkey) % 640 + 1 + p_size % 16 as double)").alias("xmax"), F.expr("cast((53 * p_partkey) % 128 + 1 + p_size % 8 as double)").alias("ymax"),
+        F.expr(f"cast(if({WIDE}, (37 * p_partkey) % 320 div 16 * 16, (37 * p_partkey) % if(p_partkey % 8 < 2, 320, 640)) as double)").alias("xmin"), F.expr(f"cast(if({WIDE}, 0, (53 * p_partkey) % 128) as double)").alias("ymin"),
+        F.expr(f"cast(if({WIDE}, (37 * p_partkey) % 320 div 16 * 16 + 32, (37 * p_partkey) % if(p_partkey % 8 < 2, 320, 640) + 1 + p_size % 16) as double)").alias("xmax"), F.expr(f"cast(if({WIDE}, 128, (53 * p_partkey) % 128 + 1 + p_size % 8) as double)").alias("ymax"),
     )
     return _geometry(df)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.functions import call, register
-from terralith.session import table
+from terralith.session import exists, table
 
 # Subtypes of the two sources that queries and relations use.
 DIVISION_SUBTYPES = ("country", "region", "county")
@@ -43,7 +42,7 @@ def with_box(features: DataFrame) -> DataFrame:
 def read(spark: SparkSession, directory: str, source: str, prefer_normalized: bool = True) -> DataFrame:
     """A source table of a data directory; its normalised copy (`<source>_normalized.parquet`) where there is one and it is preferred."""
     copy = f"{directory.rstrip('/')}/{source}_normalized.parquet"
-    if prefer_normalized and "://" not in copy and os.path.exists(copy):
+    if prefer_normalized and exists(spark, copy):
         return spark.read.parquet(copy)
     return table(spark, directory, source)
 
@@ -69,8 +68,8 @@ def normalize(spark: SparkSession, directory: str, out: str) -> None:
 def natural_from_layer(layer: DataFrame, key: str) -> DataFrame:
     """A layer of natural features (attribute columns of a shapefile, and geometry) in the table's schema.
 
-    The id comes from ne_id, else from the layer's name and the row's content; the name from the first of name, name_en and the
-    other language columns that is there; blank and placeholder names are null; is_land follows from the layer's name.
+    The id comes from ne_id, else from the layer's name and the row's content; the name from one column of the layer: the first of name, name_en and the
+    other language columns that it has; blank and placeholder names are null; is_land follows from the layer's name, null where that says nothing.
     """
     columns = {c.lower(): c for c in layer.columns}
 
@@ -79,13 +78,14 @@ def natural_from_layer(layer: DataFrame, key: str) -> DataFrame:
         return F.when(~F.lower(value).isin("", "nan", "none"), value)
 
     languages = F.struct(
-        F.coalesce(*[text(n) for n in ("name", "name_en", *[f"name_{x}" for x in LANGUAGES])]).alias("primary"), *[text(f"name_{x}").alias(x) for x in LANGUAGES]
+        text(next((n for n in ("name", "name_en", *[f"name_{x}" for x in LANGUAGES]) if n in columns), "name")).alias("primary"), *[text(f"name_{x}").alias(x) for x in LANGUAGES]
     )
     made = F.concat(F.lit(f"ne_10m_{key}_"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in layer.columns])))
-    water = bool(re.search("marine|ocean|lake|river|playa|reef|bathymetry", key))
+    # What a layer's name says about land; other names say nothing
+    land = False if re.search("ocean|marine|bathymetry|coastline|seams|reefs", key) else True if re.search("land|lakes|regions", key) else None
     return layer.select(
         F.coalesce(F.concat(F.lit("ne_"), text("ne_id")), made).alias("id"), F.lit(key).alias("source_layer"), languages.alias("names"), F.lower(F.coalesce(text("featurecla"), F.lit(key))).alias("subtype"), F.lit(None).cast("string").alias("class"),
-        text("sov_a3").alias("country"), text("region").alias("region"), F.lit(None).cast("int").alias("admin_level"), F.lit(not water).alias("is_land"), F.lit(None).cast("boolean").alias("is_territorial"), F.col(f"`{columns['geometry']}`").alias("geometry"),
+        text("sov_a3").alias("country"), text("region").alias("region"), F.lit(None).cast("int").alias("admin_level"), F.lit(land).cast("boolean").alias("is_land"), F.lit(None).cast("boolean").alias("is_territorial"), F.col(f"`{columns['geometry']}`").alias("geometry"),
     )
 
 

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.session import write_text
 from terralith.sources.gazetteer import LANGUAGES, SAMPLE, natural_from_layer
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples from JSON lines, in the schema of samples; lines that are no JSON are dropped."""
-    return spark.read.schema(SAMPLE).option("mode", "DROPMALFORMED").json(path)
+    """Samples from JSON lines, in the schema of samples. A line that is no JSON fails the read: none goes missing unseen."""
+    return spark.read.schema(SAMPLE).option("mode", "FAILFAST").json(path)
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -28,9 +29,9 @@ def next_sample_number(samples: DataFrame) -> int:
     return 0 if top is None else top + 1
 
 
-def save_stats(stats: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(stats, file, ensure_ascii=False, indent=2)
+def save_stats(spark: SparkSession, stats, path: str) -> None:
+    """Statistics as a JSON file on whatever store the path names."""
+    write_text(spark, path, json.dumps(stats, ensure_ascii=False, indent=2))
 
 
 def read_config(path: str) -> dict:
@@ -121,11 +122,20 @@ def attributes(data: bytes) -> list[dict]:
     return rows
 
 
+# Layers without places: parts of names, and whole names.
+SKIPPED_PARTS = ("graticules", "_label_points", "_scale_rank")
+SKIPPED_LAYERS = ("ne_10m_land_ocean_seams", "ne_10m_wgs84_bounding_box", "ne_10m_geography_regions_points", "ne_10m_geography_regions_elevation_points")
+
+
+def skipped_layer(name: str) -> bool:
+    return name in SKIPPED_LAYERS or any(part in name for part in SKIPPED_PARTS)
+
+
 _KEPT = ("ne_id", "featurecla", "name", *[f"name_{x}" for x in LANGUAGES], "sov_a3", "region")
 
 
 def read_shapefiles(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """All layers under a folder (.shp with .dbf beside it) as natural features. Executors read a layer each; `skip` names layers to leave out."""
+    """All layers under a folder (.shp with .dbf beside it) as natural features. Executors read a layer each; layers without places (`skipped_layer`) and those that `skip` names are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[sd][hb][pf]").load(folder)
     stem = F.regexp_extract("path", r"([^/]+)\.\w+$", 1)
     layers = files.select(stem.alias("layer"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind"), "content").groupBy("layer").agg(F.first(F.when(F.col("kind") == "shp", F.col("content")), True).alias("shp"), F.first(F.when(F.col("kind") == "dbf", F.col("content")), True).alias("dbf"))
@@ -137,10 +147,11 @@ def read_shapefiles(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()
                 named = [{k.lower(): v for k, v in r.items()} for r in attributes(bytes(dbf))] if dbf is not None else [{} for _ in found]
                 yield pd.DataFrame([{"layer": layer, **{k: r.get(k) for k in _KEPT}, "geometry": g} for r, g in zip(named, found)], columns=["layer", *_KEPT, "geometry"])
 
-    table = layers.where(~F.col("layer").isin(*skip) & F.col("shp").isNotNull()).mapInPandas(rows, f"layer string, {', '.join(f'{k} string' for k in _KEPT)}, geometry binary")
-    names = [r["layer"] for r in layers.select("layer").distinct().collect()]  # one name per file
+    names = sorted(r["layer"] for r in layers.where("shp is not null").select("layer").distinct().collect())  # one name per file
+    names = [n for n in names if n not in skip and not skipped_layer(n)]
+    table = layers.where(F.col("layer").isin(*names) & F.col("shp").isNotNull()).mapInPandas(rows, f"layer string, {', '.join(f'{k} string' for k in _KEPT)}, geometry binary")
     out = None
-    for name in sorted(n for n in names if n not in skip):
+    for name in names:
         one = natural_from_layer(table.where(F.col("layer") == name).drop("layer"), name)
         out = one if out is None else out.unionByName(one)
     if out is None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators import relations
 from terralith.operators.spatial_join import spatial_pairs
+from terralith.session import exists
 from terralith.sources.gazetteer import with_box
 
 
@@ -34,9 +35,9 @@ def start(spark: SparkSession, source: str, folder: str, checkpoint: str, schema
 
     def apply(batch: DataFrame, number: int) -> None:
         batch = batch.dropDuplicates(["id"])
-        try:
+        if exists(spark, f"{folder}/features"):
             known = spark.read.parquet(f"{folder}/features").where(F.col("batch") < number).drop("batch")
-        except Exception:  # nothing there yet
+        else:
             known = batch.limit(0)
         known = known.select(*batch.columns)
         new_adjacencies(known, batch).write.mode("overwrite").parquet(f"{folder}/adjacency/batch={number}")

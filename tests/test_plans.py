@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from terralith.functions import call, register
 from terralith.operators import dataset, search
 from terralith.operators.ranking import hashed_rank
+from terralith.operators.spatial_join import spatial_join
 from terralith.plans import box_queries, export, gateway, templates
 from terralith.sources import boxes, gazetteer, io
 
@@ -138,7 +139,7 @@ def test_shapefiles(spark, tmp_path):
     (tmp_path / "ne_lakes.shp").write_bytes(shp)
     (tmp_path / "ne_lakes.dbf").write_bytes(dbf)
     rows = io.read_shapefiles(spark, str(tmp_path)).collect()
-    assert len(rows) == 3 and rows[0]["id"] == "ne_12" and rows[0]["names"]["primary"] == "Ab" and rows[0]["subtype"] == "lake" and rows[0]["is_land"] is False
+    assert len(rows) == 3 and rows[0]["id"] == "ne_12" and rows[0]["names"]["primary"] == "Ab" and rows[0]["subtype"] == "lake" and rows[0]["is_land"] is True
     register(spark)
     area = spark.createDataFrame([(rows[0]["geometry"],)], "g binary").select(call("st_area", "g").alias("a")).first()["a"]
     assert area == 15 and rows[1]["names"]["primary"] is None and rows[2]["geometry"] is None
@@ -171,8 +172,9 @@ def test_samples_are_generated_for_every_family(spark, data):
     drawn = {name: draw(t, "sample_000001") for name, t in templates.TEMPLATES.items()}
     assert [name for name, x in drawn.items() if x is None and not {"ocean", "sea", "country"} & set(templates.TEMPLATES[name].subtypes)] == []
     assert draw(templates.TEMPLATES["adj_04"], "sample_000001") == drawn["adj_04"]
-    out = dataset.generate(spark, d, n, [("direct_lookup", "lookup_01", "sample_000001"), ("containment", "contain_01", "sample_000002"), ("partial_selection", "partial_05", "sample_000003")], draw)
+    out, outcome = dataset.generate(spark, d, n, [("direct_lookup", "lookup_01", "sample_000001"), ("containment", "contain_01", "sample_000002"), ("partial_selection", "partial_05", "sample_000003")], draw)
     assert [s["id"] for s in out] == ["sample_000001", "sample_000002", "sample_000003"] and out[2]["metadata"]["anchor_source"] == "mixed"
+    assert outcome == {"tried": 3, "undrawn": 0, "failed": 0, "empty": 0, "made": 3, "rate": 1.0}
     checked = dataset.validate(spark.createDataFrame(out, io.SAMPLE)).collect()
     assert all(r["issues"] == [] and r["target"]["selected_candidates"] for r in checked)
 
@@ -208,6 +210,70 @@ def test_anchors_come_from_the_relation_of_the_question(spark):
     assert draw(templates.TEMPLATES["contain_01"], "sample_000001")[2][0][1] == "plain1"
 
 
+def test_comment_marks_in_literals_stay():
+    text = gateway.translate("SELECT id FROM read_parquet('divisions_area') -- all\nWHERE names.\"primary\" = 'Foo--Bar' AND country = 'a/*x*/b' /* done */")
+    assert "'Foo--Bar'" in text and "'a/*x*/b'" in text and "all" not in text and "done" not in text
+
+
+def test_exists_goes_through_the_grid(spark, data):
+    d, n = boxes.divisions(spark, data), boxes.natural(spark, data)
+    d.createOrReplaceTempView("divisions_area")
+    n.createOrReplaceTempView("natural_earth")
+    for no, how in (("", "left_semi"), ("NOT ", "left_anti")):
+        text = f"SELECT b.id FROM read_parquet('divisions_area') AS b WHERE b.subtype = 'county' AND {no}EXISTS (SELECT 1 FROM read_parquet('natural_earth') AS n WHERE n.subtype IN ('river', 'lake') AND ST_Intersects(n.geometry, b.geometry))"
+        df = gateway.run(spark, text)
+        assert "BroadcastNestedLoopJoin" not in df._jdf.queryExecution().optimizedPlan().toString() and "_met" in df._jdf.queryExecution().analyzed().toString()
+        expected = spatial_join(d.where("subtype = 'county'"), n.where("subtype in ('river', 'lake')"), "intersects", how)
+        assert {r["id"] for r in df.collect()} == {r["id"] for r in expected.collect()}
+    same = gateway._through_grid(spark, "SELECT 1 FROM divisions_area b WHERE EXISTS (SELECT 1 FROM natural_earth n WHERE n.country = b.country AND ST_Intersects(b.geometry, n.geometry))")
+    assert "natural_earth n" in same
+
+
+def test_writers_that_start_are_announced(spark, data):
+    d, n = boxes.divisions(spark, data), boxes.natural(spark, data)
+    events = list(gateway.search_events(spark, "Show Nowhere", d.where("false"), n.where("false"), ready=lambda: False))
+    assert [e["type"] for e in events] == ["warming_up", "places", "error"]
+
+
+def test_large_collections_are_refused(spark):
+    df = spark.range(5).selectExpr("id", "cast(null as binary) geometry")
+    assert len(export.to_feature_collection(df, 5)["features"]) == 5
+    with pytest.raises(ValueError):
+        export.to_feature_collection(df, 4)
+
+
+def test_statements_and_conversations(spark):
+    pretty = dataset.pretty_sql("select a, 'x  from y' as b from t where a = 1 and b = \"order by\"  order by a limit 3")
+    assert pretty == "SELECT a, 'x  from y' AS b\nFROM t\nWHERE a = 1\n    AND b = \"order by\"\nORDER BY a\nLIMIT 3"
+    said = [[("user", "<A>x</A> <USER_QUERY>\n where is it? \n</USER_QUERY>"), ("assistant", "s")], [("user", "plain"), ("assistant", "s")]]
+    rows = spark.createDataFrame([(m,) for m in said], "messages array<struct<role: string, content: string>>").select(dataset.user_query(F.col("messages")).alias("q")).collect()
+    assert [r["q"] for r in rows] == ["where is it?", "plain"]
+    results = spark.createDataFrame([(1, "sql", "test", "a", "a"), (2, "places", "test", "a", "b"), (3, "sql", "val", "a", "a")], "id int, task string, split string, expected string, predicted string")
+    assert [r["id"] for r in dataset.evaluated(results, "sql", "test").collect()] == [1] and dataset.evaluated(results, ids=["2", "3"]).count() == 2 and dataset.evaluated(results, label="x").count() == 0
+    candidates = spark.createDataFrame([(1, "a", "country", "XA"), (2, "b", "country", "XA"), (3, "c", "region", "XA"), (4, "c", "region", "XA"), (5, "d", "country", None)], "position int, id string, subtype string, country string")
+    assert sorted((r["candidate_id"], r["id"]) for r in dataset.one_per_country(candidates).collect()) == [("c1", "a"), ("c2", "c"), ("c3", "d")]
+    over = {r["upper"]: (r["over"], r["percent"]) for r in dataset.length_exceedance(spark.createDataFrame([(10,), (2000,), (5000,), (None,)], "n int"), "n").collect()}
+    assert over == {1024: (2, 66.666667), 2048: (1, 33.333333), 4096: (1, 33.333333)} and dataset.length_exceedance(spark.createDataFrame([], "n int"), "n").where("over > 0").count() == 0
+
+
+def test_rewordings_carry_names_over():
+    found = {dataset.reword("Which counties touch Lake Quell?", "adjacency", f"k{i}")[0] for i in range(60)}
+    assert len(found) > 3 and all("Lake Quell" in q for q in found)
+
+
+def test_files_on_any_store(spark, tmp_path):
+    from terralith.session import exists, read_text
+
+    path = f"file://{tmp_path}/x/stats.json"
+    assert not exists(spark, path)
+    io.save_stats(spark, {"a": "é"}, path)
+    assert exists(spark, path) and '"é"' in read_text(spark, path)
+    (tmp_path / "bad.jsonl").write_text('{"id": "a"}\n{"id": \n')
+    with pytest.raises(Exception):
+        io.read_samples(spark, str(tmp_path / "bad.jsonl")).select("question", "id").collect()
+    assert io.skipped_layer("ne_10m_graticules_1") and io.skipped_layer("ne_10m_land_ocean_seams") and not io.skipped_layer("ne_10m_lakes")
+
+
 def test_normalised_copy_is_preferred(spark, data, tmp_path):
     gazetteer.normalize(spark, data, str(tmp_path))
     got = gazetteer.read(spark, str(tmp_path), "divisions_area")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terralith.functions import call, register
+from terralith.functions import call, register, union_of
 from terralith.operators import cells, joins, relations, spatial_join
 from terralith.operators.spatial_join import spatial_join as join
 from terralith.operators.spatial_join import spatial_pairs
@@ -110,6 +110,22 @@ def test_range_join(spark):
 
 def test_relation_limits():
     limits = relations.relation_limits({"adjacency": 100, "containment": 10}, 2, 1.5, {"intersection": 7})
-    assert limits["adjacency"] == 300 and limits["containment"] == 30 and limits["intersection"] == 7 and limits["coastal_containment"] == 500
+    assert limits["adjacency"] == 300 and limits["common_neighbor"] == 900 and limits["containment"] == 30 and limits["intersection"] == 7 and limits["coastal_containment"] == 500
+    assert relations.relation_limits({"buffer": 10, "set_operations": 10}, 2, 1.5)["adjacency"] == 30 and relations.per_combination_limit(12_000, 3, 100, 1_500) == 1_500
     assert relations.capped({"containment": 99_999, "adjacency": 3})["containment"] == 12_000
     assert relations.needs_rebuild(["A"], ["A"]) is False and relations.needs_rebuild(["all"], ["all"]) is True
+
+
+def test_union_of_parts(spark):
+    register(spark)
+    rows = spark.range(300).select(call("st_makeenvelope", F.col("id").cast("double"), F.lit(0.0), F.col("id") + 1.5, F.lit(2.0)).alias("geometry"))
+    assert abs(union_of(rows).select(call("st_area", "g").alias("a")).first()["a"] - 601.0) < 1e-9
+    assert union_of(rows.where("false")).first()["g"] is None
+
+
+def test_relation_from_one_matrix(spark):
+    register(spark)
+    box = lambda *c: call("st_makeenvelope", *[F.lit(float(x)) for x in c])
+    cases = {"touches": (box(0, 0, 1, 1), box(1, 0, 2, 1)), "within": (box(1, 1, 2, 2), box(0, 0, 3, 3)), "contains": (box(0, 0, 3, 3), box(1, 1, 2, 2)), "intersects": (box(0, 0, 2, 2), box(1, 1, 3, 3)), None: (box(0, 0, 1, 1), box(5, 5, 6, 6))}
+    for expected, (a, b) in cases.items():
+        assert spark.range(1).select(call("st_relation", a, b).alias("r")).first()["r"] == expected
