@@ -62,6 +62,49 @@ def test_salted_join_is_a_join(spark):
     assert sorted(map(tuple, joins.salted_join(many, few, "k", hot_rows=20).select("k", "id", "v").collect())) == plain
 
 
+def test_hot_keys_beside_maps(spark):
+    many = spark.range(300).selectExpr("id", "id % 3 as k", "named_struct('primary', 'x', 'common', map('en', cast(id as string))) as names")
+    few = spark.sql("select 0L as k, 'v' as v union all select 2L, 'w'")
+    got = joins.salted_join(many, few, "k", hot_rows=20).select("id", "v", "names.common.en").collect()
+    assert sorted((r[0], r[1], int(r[2])) for r in got) == sorted((i, "vxw"[i % 3], i) for i in range(300) if i % 3 != 1)
+
+
+def crowd(spark, n, seed):
+    """Named divisions of which many lie on few boxes."""
+    rng = random.Random(seed)
+    rows = [(f"c{i}", (f"name {i}", {"en": f"name {i}"}), rng.choice(("region", "county")), "A", *(lambda x, y: (float(x), float(y), x + 1.0, y + 1.0))(rng.randrange(5), rng.randrange(4))) for i in range(n)]
+    rows += [("c_wide", ("wide", {}), "country", "A", 1.0, 1.0, 4.0, 3.0), ("c_part", ("part", {}), "region", "A", 0.5, 0.5, 1.5, 1.5)]
+    register(spark)
+    made = spark.createDataFrame(rows, "id string, names struct<primary: string, common: map<string, string>>, subtype string, country string, xmin double, ymin double, xmax double, ymax double")
+    return made.withColumn("geometry", call("st_makeenvelope", "xmin", "ymin", "xmax", "ymax"))
+
+
+@pytest.mark.parametrize("how", ["touches", "within", "overlaps"])
+def test_shared_geometries_are_tested_once(spark, monkeypatch, how):
+    monkeypatch.setattr(spatial_join, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(spatial_join, "HOT_PAIRS", 40)
+    monkeypatch.setattr(joins, "HOT_ROWS", 4)
+    d = crowd(spark, 120, 8)
+    tested = []
+    exact = spatial_join._tested
+    monkeypatch.setattr(spatial_join, "_tested", lambda pairs, p: tested.append(pairs.count()) or exact(pairs, p))
+    rows = [(r["id"], r["xmin"], r["ymin"], r["xmax"], r["ymax"]) for r in d.collect()]
+    expected = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and plain(a, b, how))
+    assert sorted((r["l_id"], r["r_id"]) for r in spatial_pairs(d, d, how, F.col("l_id") < F.col("r_id")).collect()) == expected and expected
+    assert sum(tested) <= 22 * 22  # 22 different boxes, 122 features
+
+
+def test_adjacency_of_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(spatial_join, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(joins, "HOT_ROWS", 4)
+    d = crowd(spark, 60, 9)
+    rows = [(r["id"], r["xmin"], r["ymin"], r["xmax"], r["ymax"]) for r in d.collect()]
+    expected = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and plain(a, b, "touches"))
+    for shared in (2, 1000):  # by geometries, then by features
+        monkeypatch.setattr(spatial_join, "SHARED", shared)
+        assert sorted((r["anchor_id"], r["target_id"]) for r in relations.adjacency(d).collect()) == expected
+
+
 def test_near_pairs_against_brute_force(spark):
     rng = random.Random(5)
     rows = [(f"p{i}", rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(50)] + [(f"q{i}", rng.uniform(10, 10.05), rng.uniform(-0.02, 0.03)) for i in range(150)]
