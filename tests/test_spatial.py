@@ -172,3 +172,16 @@ def test_relation_from_one_matrix(spark):
     cases = {"touches": (box(0, 0, 1, 1), box(1, 0, 2, 1)), "within": (box(1, 1, 2, 2), box(0, 0, 3, 3)), "contains": (box(0, 0, 3, 3), box(1, 1, 2, 2)), "intersects": (box(0, 0, 2, 2), box(1, 1, 3, 3)), None: (box(0, 0, 1, 1), box(5, 5, 6, 6))}
     for expected, (a, b) in cases.items():
         assert spark.range(1).select(call("st_relation", a, b).alias("r")).first()["r"] == expected
+
+
+def test_cross_source_of_shared_geometries(spark, monkeypatch):
+    monkeypatch.setattr(spatial_join, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(joins, "HOT_ROWS", 4)
+    monkeypatch.setattr(spatial_join, "HOT_PAIRS", 40)
+    d = crowd(spark, 60, 10)
+    n = crowd(spark, 50, 11).where("subtype = 'county'").withColumn("subtype", F.lit("Lake"))
+    n = n.withColumn("id", F.concat(F.lit("ne_"), "id"))
+    kind = lambda a, b: next((k for k in ("touches", "within", "contains", "intersects") if plain(a, b, k)), None)
+    left, right = ([(r["id"], r["xmin"], r["ymin"], r["xmax"], r["ymax"]) for r in x.collect()] for x in (d, n))
+    expected = sorted((a[0], b[0], kind(a, b)) for a in left for b in right if kind(a, b))
+    assert sorted((r["division_id"], r["natural_id"], r["relation_type"]) for r in relations.cross_source(d, n).collect()) == expected and expected
