@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.operators.joins import salted_join
 from terralith.operators.spatial_join import spatial_join, spatial_pairs
-from terralith.session import exists
-from terralith.sources.gazetteer import NATURAL_SUBTYPES
+from terralith.session import cut, exists
+from terralith.sources.gazetteer import BOX, NATURAL_SUBTYPES
 
 # Containment combinations, and default row limits of the tables.
 CONTAINMENT = (("country", "region"), ("country", "county"), ("region", "county"))
@@ -16,6 +18,8 @@ LIMITS = {"adjacency": 50_000, "containment": 3_000, "intersection": 3_000, "cro
 FALLBACK_LIMIT = 500
 #: Rows of a containment combination when all countries are asked for.
 MOST_PER_COMBINATION = 1_500
+#: Divisions that a limited table joins at first, and by how much further parts grow.
+FIRST_PART, PART_GROWTH = 8, 16
 SEA = ("sea", "ocean")
 
 
@@ -84,16 +88,43 @@ def intersection(features: DataFrame, countries=None, limit: int | None = None)
     return _first(out, limit, "anchor_id", "target_id")
 
 
+def _related(divisions: DataFrame, natural: DataFrame) -> DataFrame:
+    pairs = spatial_pairs(divisions, natural, "relation")
+    return pairs.select(*[F.col(f"l_{c}").alias(f"division_{c}") for c in ("id", "name", "subtype", "country")], *[F.col(f"r_{c}").alias(f"natural_{c}") for c in ("id", "name", "subtype")], F.col("relation").alias("relation_type"))
+
+
+def _first_of_combinations(pairs: DataFrame, per_combination: int) -> DataFrame:
+    w = Window.partitionBy("division_subtype", "natural_subtype").orderBy("division_id", "natural_id")
+    return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_combination).drop("_n")
+
+
 def cross_source(divisions: DataFrame, natural: DataFrame, countries=None, per_combination: int | None = None) -> DataFrame:
-    """Divisions and natural features that meet, by the first that holds of touches, within, contains, intersects."""
-    d = _named(divisions, countries).where("subtype in ('country', 'region', 'county')")
-    n = _named(natural).where(F.col("subtype").isin(*NATURAL_SUBTYPES))
-    pairs = spatial_pairs(d, n, "relation")
-    out = pairs.select(*[F.col(f"l_{c}").alias(f"division_{c}") for c in ("id", "name", "subtype", "country")], *[F.col(f"r_{c}").alias(f"natural_{c}") for c in ("id", "name", "subtype")], F.col("relation").alias("relation_type"))
+    """Divisions and natural features that meet, by the first that holds of touches, within, contains, intersects.
+
+    With a limit, divisions are joined in the order of their ids, in growing parts, until each combination of subtypes has its rows or no
+    division is left: later divisions cannot be among a full combination's first rows.
+    """
+    d = _named(divisions, countries).where("subtype in ('country', 'region', 'county')").select("id", "name", "subtype", "country", "geometry", *[c for c in BOX if c in divisions.columns])
+    n = _named(natural).where(F.col("subtype").isin(*NATURAL_SUBTYPES)).select("id", "name", "subtype", "geometry", *[c for c in BOX if c in natural.columns])
     if per_combination is None:
-        return out
-    w = Window.partitionBy("division_subtype", "natural_subtype").orderBy("division_id", "natural_id")
-    return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_combination).drop("_n")
+        return _related(d, n)
+    n = cut(n.repartition("id"))  # read once for each part
+    kinds = [r[0] for r in n.select("subtype").distinct().collect()]  # of NATURAL_SUBTYPES
+    parts = []
+    for subtype in ("country", "region", "county"):
+        of, after, size, missing = d.where(F.col("subtype") == subtype), None, FIRST_PART, kinds
+        while missing:
+            rest = of if after is None else of.where(F.col("id") > after)
+            last = rest.where("id is not null").select("id").orderBy("id").limit(size).agg(F.count("*"), F.max("id")).first()
+            whole = last[0] < size
+            part = rest if whole else rest.where((F.col("id") <= last[1]) | F.col("id").isNull())
+            found = cut(_first_of_combinations(_related(part, n.where(F.col("subtype").isin(*missing))), per_combination))
+            parts.append(found)
+            if whole:
+                break
+            full = {r[0] for r in reduce(DataFrame.unionByName, parts).where(F.col("division_subtype") == subtype).groupBy("natural_subtype").count().where(F.col("count") >= per_combination).collect()}
+            missing, after, size = [k for k in kinds if k not in full], last[1], size * PART_GROWTH
+    return _first_of_combinations(reduce(DataFrame.unionByName, parts), per_combination) if parts else _first_of_combinations(_related(d, n), per_combination)
 
 
 def common_neighbor(adjacent: DataFrame, limit: int | None = None) -> DataFrame:

@@ -185,3 +185,16 @@ def test_cross_source_of_shared_geometries(spark, monkeypatch):
     left, right = ([(r["id"], r["xmin"], r["ymin"], r["xmax"], r["ymax"]) for r in x.collect()] for x in (d, n))
     expected = sorted((a[0], b[0], kind(a, b)) for a in left for b in right if kind(a, b))
     assert sorted((r["division_id"], r["natural_id"], r["relation_type"]) for r in relations.cross_source(d, n).collect()) == expected and expected
+
+
+def test_limited_cross_source_stops_when_combinations_are_full(spark, monkeypatch):
+    monkeypatch.setattr(relations, "FIRST_PART", 2)
+    d = crowd(spark, 40, 12)
+    n = crowd(spark, 200, 13).where("subtype = 'county'").withColumn("subtype", F.when(F.col("id") < "c2", "lake").otherwise("river"))
+    rows = sorted((r["division_subtype"], r["natural_subtype"], r["division_id"], r["natural_id"], r["relation_type"]) for r in relations.cross_source(d, n).collect())
+    expected = [r for i, r in enumerate(rows) if sum(q[:2] == r[:2] for q in rows[:i]) < 2]
+    joined = []
+    related = relations._related
+    monkeypatch.setattr(relations, "_related", lambda a, b: joined.append(a.count()) or related(a, b))
+    got = sorted((r["division_subtype"], r["natural_subtype"], r["division_id"], r["natural_id"], r["relation_type"]) for r in relations.cross_source(d, n, per_combination=2).collect())
+    assert got == expected and sum(joined) < d.count()
