@@ -198,3 +198,12 @@ def test_limited_cross_source_stops_when_combinations_are_full(spark, monkeypatc
     monkeypatch.setattr(relations, "_related", lambda a, b: joined.append(a.count()) or related(a, b))
     got = sorted((r["division_subtype"], r["natural_subtype"], r["division_id"], r["natural_id"], r["relation_type"]) for r in relations.cross_source(d, n, per_combination=2).collect())
     assert got == expected and sum(joined) < d.count()
+
+
+def test_common_neighbours_need_no_distinct_of_all_pairs(spark):
+    edge = lambda a, b: tuple(x for i in (a, b) for x in (i, f"name {i}", "county")) + ("adjacent",)
+    edges = [edge("a", "m"), edge("a", "m"), edge("b", "m"), edge("c", "m"), edge("a", "b")]
+    adjacent = spark.createDataFrame(edges, "anchor_id string, anchor_name string, anchor_subtype string, target_id string, target_name string, target_subtype string, relation_type string")
+    out = relations.common_neighbor(adjacent)
+    assert sorted((r["anchor_id_1"], r["anchor_id_2"], r["shared_neighbor_id"]) for r in out.collect()) == [("a", "b", "m"), ("a", "c", "m"), ("a", "m", "b"), ("b", "c", "m"), ("b", "m", "a")]
+    assert out._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"
