@@ -6,7 +6,8 @@ items' windows are joined to those of the corpus with their positions in the doc
 document around its hits, with substitutions, insertions and gaps allowed.
 
 On the items' side those windows are hashed that keep a word that is rare among the items: sentences merely of like build
-share their common words, not their names and numbers. Of items that have few such windows all windows that few items share are hashed. On the corpus side a bitmap of fixed size, made from the items' hashes,
+share their common words, not their names and numbers. Of items that have few such windows all windows that few items share are hashed, and all
+windows where these are few too. Items with one passage are searched as one. On the corpus side a bitmap of fixed size, made from the items' hashes,
 drops windows that cannot match before they leave the Python worker; the exact join follows. The join broadcasts the items'
 hashes only if a count proves them few.
 """
@@ -26,7 +27,7 @@ from terralith.session import broadcast_if_small, cut, name_key, table
 MASKS = ("1111", "11011", "110101", "101011", "1011001")
 #: Items that hold a rare word are at most this share of all items, and at least this many.
 RARE_SHARE, RARE_ITEMS = 0.02, 3
-#: Part of an item's words that windows with a rare word must cover; of other items all windows that few items share are hashed.
+#: Part of an item's words that windows with a rare word must cover; of other items all windows that few items share are hashed, or all if few items share less than that part.
 LEAST_NAMED = 0.5
 #: Leading sentences that so many items share are instructions, no passage.
 SHARED_OPENINGS = 3
@@ -70,10 +71,13 @@ def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def passages(items: DataFrame) -> DataFrame:
-    """(item_id, words): each item's passage, without the opening sentences that at least SHARED_OPENINGS items share. Null texts give no row."""
-    parts = items.where("item_id is not null and text is not null").select("item_id", F.posexplode(F.split("text", r"(?<=[.?!:])\s+|\n+")).alias("at", "sentence"))
-    parts = parts.withColumn("key", fold(F.col("sentence")))
-    shared = parts.groupBy("key").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= SHARED_OPENINGS).select("key", F.lit(True).alias("shared"))
+    """(item_id, words): each item's passage, without the opening sentences that at least SHARED_OPENINGS different continuations follow. Null texts give no row.
+
+    Items that share a passage have the same words after each of its sentences, so it is no opening, however many they are.
+    """
+    parts = items.where("item_id is not null and text is not null").select("item_id", F.split("text", r"(?<=[.?!:])\s+|\n+").alias("all")).select("item_id", "all", F.posexplode("all").alias("at", "sentence"))
+    parts = parts.withColumn("key", fold(F.col("sentence"))).withColumn("rest", fold(F.expr("array_join(slice(all, at + 2, size(all)), ' ')"))).drop("all")
+    shared = parts.groupBy("key").agg(F.countDistinct("rest").alias("n")).where(F.col("n") >= SHARED_OPENINGS).select("key", F.lit(True).alias("shared"))
     parts = parts.join(broadcast_if_small(shared, BROADCAST_SEEDS), "key", "left")
     first = parts.groupBy("item_id").agg(F.min(F.when(F.col("shared").isNull(), F.col("at"))).alias("first"))
     kept = parts.join(first, "item_id").where("at >= first").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("s"))
@@ -248,7 +252,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, least_words: int = LEAS
     id must have one text. Every word of every text takes part. What is rare is judged among the items: with fewer than some
     twenty of them, documents that are merely built like an item may come out too.
     """
-    item_words = cut(passages(items).select("item_id", F.transform("words", lambda w: F.xxhash64(w)).alias("words")))
+    same = passages(items).select("item_id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    # items with one passage are searched once, under the smallest id: else their number would make its words and windows common
+    same = cut(same.join(same.groupBy("words").agg(F.min("item_id").alias("_of")), "words"))
+    item_words, same = same.where("item_id = _of").select("item_id", "words").distinct(), same.select("_of", F.col("item_id").alias("_id")).distinct()
     n = item_words.count()
     most = max(RARE_ITEMS, int(RARE_SHARE * n))
     common = item_words.select("item_id", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > most)
@@ -258,7 +265,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, least_words: int = LEAS
     seeds_of = F.pandas_udf(_item_seeds, "array<struct<hash: long, mask: int, at: int, named: boolean>>")
     seeds = cut(prepared.select("item_id", F.explode(seeds_of("words", "rare")).alias("s")).select("item_id", "s.*"))
     few = seeds.groupBy("hash").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") <= most).select("hash", F.lit(True).alias("few"))
-    seeds = cut(seeds.join(few, "hash", "left").where("named or (named is null and few)").select("item_id", "hash", "mask", "at"))
+    seeds = cut(seeds.join(few, "hash", "left"))
+    # passages that consist of windows which many items share have nothing rarer: all their windows count
+    common_only = seeds.where("named is null").groupBy("item_id").agg((F.count("few") < LEAST_NAMED * F.count("*")).alias("common_only"))
+    seeds = cut(seeds.join(broadcast_if_small(common_only.where("common_only"), BROADCAST_SEEDS), "item_id", "left").where("named or (named is null and (few or common_only))").select("item_id", "hash", "mask", "at"))
 
     # which of 2^BITS slots hold an item's hash: the bitmap's size does not depend on the data
     slots = seeds.select(F.shiftrightunsigned("hash", 64 - BITS).alias("slot")).distinct()
@@ -277,7 +287,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, least_words: int = LEAS
     some = broadcast_if_small(candidates.select("doc_id").distinct(), BROADCAST_CANDIDATES)
     texts = with_words(documents.where("text is not null").select("doc_id", "text").join(some, "doc_id", "left_semi"), "text", "words").select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("doc_words"))
     pairs = candidates.join(broadcast_if_small(prepared, 20_000), "item_id").repartition("doc_id").join(texts, "doc_id")
-    return pairs.select("doc_id", "item_id", F.pandas_udf(_reproduced, "int")("doc_words", "words", "rare", "covered", "places").alias("words_leaked")).where(F.col("words_leaked") >= least_words)
+    found = pairs.select("doc_id", F.col("item_id").alias("_of"), F.pandas_udf(_reproduced, "int")("doc_words", "words", "rare", "covered", "places").alias("words_leaked")).where(F.col("words_leaked") >= least_words)
+    return found.join(broadcast_if_small(same, 20_000), "_of").select("doc_id", F.col("_id").alias("item_id"), "words_leaked")
 
 
 def p6_found(spark, directory: str) -> DataFrame:

@@ -312,6 +312,20 @@ def test_items_without_rare_words_are_found(spark):
     assert got == [(1, 7)]
 
 
+def test_items_that_share_a_passage_are_all_found(spark):
+    """Neither the openings nor the windows of a passage are dropped because many items have it."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("bcdfglmnrst", k=3)) + rng.choice("aeiou") + str(i) for i in range(900)]
+    text = lambda k: " ".join(rng.sample(words[:400], k))
+    same, partly = f"{text(15)}. {text(15)}.", " ".join(words[400:430])
+    items = [(i, f"Read the passage and answer. {same}") for i in range(3)] + [(i, f"Name what is meant. {same}") for i in range(3, 6)]
+    items += [(i, f"Read the passage and answer. {partly} {words[500 + 2 * i]} {words[501 + 2 * i]}.") for i in range(6, 12)]
+    items += [(100 + i, f"Read the passage and answer. {text(30)}.") for i in range(20)] + [(200 + i, f"Name what is meant. {text(30)}.") for i in range(5)]
+    docs = spark.createDataFrame([(1, f"before it {same} after it"), (2, f"before it {partly} after it"), (3, "Read the passage and answer. Name what is meant.")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, i) for i in range(6)] + [(2, i) for i in range(6, 12)]
+
+
 def test_stretches_around_hits():
     doc = np.arange(1000)
     got = leaks._around(doc, np.array([5, 20, 600, 600]), 10)
