@@ -32,6 +32,8 @@ LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y",
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "il", "+": "t", "|": "il", "€": "e", "£": "l", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz", "_": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz", "%": "abcdefghijklmnopqrstuvwxyz"}
 #: Labelled documents that the scorer is fitted to, at most: those with the smallest hashes of their ids.
 LABELLED = 8_000
+#: Texts whose sentences are scored at once.
+TOGETHER = 256
 #: Words that the language model and the decoder know besides the corpus: risky words of the lexicon, from four letters on.
 WORDS = sorted({w.rstrip("*") for c in DISGUISED for w in CONCEPTS[c].split() if len(w.rstrip("*")) > 3} | {"sex", "cum", "fag", "pig"})
 
@@ -62,21 +64,27 @@ _CLASS[97:123] = 1
 _CLASS[[ord(c) for c in "0123456789@$+|*#%!"]] = 2
 _CLASS[[ord(c) for c in " .-/"]] = 4
 _CLASS[ord("_")] = 6
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"]] = True
 
 
-def _oddities(text: str) -> tuple[bool, list[int]]:
-    """Whether letters may be set apart, and where letters stand beside signs or thrice in a row."""
-    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-    if len(raw) < 3:
-        return False, [0] if len(raw) == 2 else []
+def _oddities(texts: list[str]) -> list[tuple[bool, list[int]]]:
+    """Of each text: whether letters may be set apart, and where letters stand beside signs or thrice in a row."""
+    # texts are laid end to end; line ends between them are of no class
+    raw = np.frombuffer(("\n\n\n" + "\n\n\n".join(texts) + "\n\n\n\n").encode("ascii", "replace"), np.uint8)
     kind = _CLASS[raw]
     letter, sign, gap = kind == 1, kind & 2 > 0, kind & 4 > 0
     odd = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
     twice = raw[:-1] == raw[1:]
     odd[:-1] |= twice[:-1] & twice[1:] & letter[2:]
     part = letter | sign
-    apart = len(raw) > 4 and bool((part[:-4] & gap[1:-3] & part[2:-2] & gap[3:-1] & part[4:]).any())
-    return apart, np.flatnonzero(odd).tolist()
+    # as in _APART: no word before, the same separator twice
+    apart = np.flatnonzero(part[1:-4] & gap[2:-3] & part[3:-2] & gap[4:-1] & part[5:] & (raw[2:-3] == raw[4:-1]) & ~_IN_WORD[raw[:-5]]) + 1
+    odd = np.flatnonzero(odd)
+    starts = np.cumsum([3, *(len(t) + 3 for t in texts)])
+    lines, found = np.searchsorted(starts, apart, "right") - 1, np.searchsorted(odd, starts)
+    held = set(lines.tolist())
+    return [(k in held, (odd[i:j] - at).tolist()) for k, (at, i, j) in enumerate(zip(starts.tolist(), found[:-1].tolist(), found[1:].tolist()))]
 
 
 def folded(text: str) -> str:
@@ -270,10 +278,16 @@ class Decoder:
 
     def restore(self, text: str) -> str:
         """The folded text with every odd token decoded. Tokens as long as an identifier stay, and those of mostly digits that spell no term."""
-        apart, spans = _oddities(text)
+        return self._restore(text, *_oddities([text])[0])
+
+    def restore_all(self, texts: list[str]) -> list[str]:
+        return [self._restore(text, *found) for text, found in zip(texts, _oddities(texts))]
+
+    def _restore(self, text: str, apart: bool, spans: list[int]) -> str:
         if apart:
-            text = _APART.sub(self._joined, text)
-            spans = _oddities(text)[1]
+            whole = _APART.sub(self._joined, text)
+            if whole != text:
+                text, spans = whole, _oddities([whole])[0][1]
         if not spans:
             return text
         out, end = [], 0
@@ -314,18 +328,28 @@ def _decoder(model: tuple) -> Decoder:
     return _once(model, lambda value: Decoder(np.frombuffer(value, np.float32)))
 
 
-def _score(text: str, decoder: Decoder, scorer: Scorer) -> tuple[int, int, int, int, float, str]:
-    """Sentences of each kind, sentences, the highest probability of any kind, and the first sentence that is of a kind."""
-    found, worst, top = [0, 0, 0], "", -30.0
-    parts = sentences(decoder.restore(folded(text)))
-    for sentence in parts:
-        odds = scorer.sentence(sentence)
-        most = max(odds)
-        top = max(top, most)
-        if most > 0:
-            found[odds.index(most)] += 1
-            worst = worst or sentence.strip()
-    return *found, len(parts), 1 / (1 + math.exp(-min(top, 30.0))), worst
+def _scores(texts, decoder: Decoder, scorer: Scorer):
+    """Of each text: sentences of each kind, sentences, the highest probability of any kind, and the first sentence that is of a kind. Null, empty and blank texts have none."""
+    texts = list(texts)
+    for k in range(0, len(texts), TOGETHER):
+        part = texts[k : k + TOGETHER]
+        parts = [sentences(r) if t and not t.isspace() else None for t, r in zip(part, decoder.restore_all([folded(t) if t else "" for t in part]))]
+        flat = [s for p in parts for s in p or ()]
+        odds = scorer.odds(flat).tolist() if flat else []
+        end = 0
+        for p in parts:
+            if p is None:
+                yield 0, 0, 0, 0, 0.0, ""
+                continue
+            found, worst, top = [0, 0, 0], "", -30.0
+            for sentence, own in zip(p, odds[end : end + len(p)]):
+                most = max(own)
+                top = max(top, most)
+                if most > 0:
+                    found[own.index(most)] += 1
+                    worst = worst or sentence.strip()
+            end += len(p)
+            yield *found, len(p), 1 / (1 + math.exp(-min(top, 30.0))), worst
 
 
 def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
@@ -370,7 +394,7 @@ def content_scores(documents: DataFrame, labels: DataFrame | None = None) -> Dat
     @F.pandas_udf("struct<abusive: int, hateful: int, sexual: int, sentences: int, score: double, example: string>")
     def scored(texts: pd.Series) -> pd.DataFrame:
         decoder, judge = _decoder(model), _once(weights, lambda value: Scorer(*value))
-        return pd.DataFrame([_score(t, decoder, judge) if t and not t.isspace() else (0, 0, 0, 0, 0.0, "") for t in texts], columns=["abusive", "hateful", "sexual", "sentences", "score", "example"])
+        return pd.DataFrame(list(_scores(texts, decoder, judge)), columns=["abusive", "hateful", "sexual", "sentences", "score", "example"])
 
     return documents.select("doc_id", name_key(F.col("source")).alias("source"), scored("text").alias("s")).select("doc_id", "source", "s.*")
 
@@ -390,10 +414,8 @@ def held_out(documents: DataFrame, labels: DataFrame) -> DataFrame:
     @F.pandas_udf("struct<abusive: int, hateful: int, sexual: int, disguised: boolean>")
     def judged(texts: pd.Series) -> pd.DataFrame:
         decoder, judge = _decoder(model), _once(weights, lambda value: Scorer(*value))
-        rows = []
-        for t in texts:
-            plain = folded(t)
-            rows.append((*_score(t, decoder, judge)[:3], decoder.restore(plain) != plain))
+        plain = [folded(t) for t in texts]
+        rows = [(*s[:3], decoder.restore(p) != p) for s, p in zip(_scores(texts, decoder, judge), plain)]
         return pd.DataFrame(rows, columns=["abusive", "hateful", "sexual", "disguised"])
 
     votes = known.where(half == 1).groupBy("doc_id", "label").agg(F.count("*").alias("n"))

@@ -30,6 +30,8 @@ LEAST_WEIGHT = 0.05
 #: Weight of a sentence that makes a text a case, against one of a text that is none: cases are few.
 POSITIVE = 8.0
 _BREAKS = bytes(i if 97 <= i <= 122 or 48 <= i <= 57 else 32 for i in range(256))
+#: The same, but for the ends of lines; a word that no folded text holds, as it is upper case.
+_LINES, _END = _BREAKS[:10] + b"\n" + _BREAKS[11:], "A"
 
 _EXACT: dict[str, list[str]] = {}
 _PREFIX: dict[str, list[str]] = {}
@@ -83,22 +85,20 @@ def concepts_of(word: str, memo: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
     return found
 
 
-def _slips(word: str) -> set[str]:
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-
-
-#: Insults of at least LEAST_RESPELT letters by what is left of them without any one letter.
+#: Insults of at least LEAST_RESPELT letters, by their length and the letters that a slip in the other half leaves: the first ones, or the first and the last ones.
 LEAST_RESPELT = 5
-_NEAR: dict[str, list[str]] = {}
+_BY_LENGTH: dict[int, tuple[int, int, dict[str, list[str]], dict[str, list[str]]]] = {}
 for _c in ("insult", "scorn", "slur"):
     for _w in CONCEPTS[_c].split():
         if len(_w) >= LEAST_RESPELT and not _w.endswith("*"):
-            for _v in _slips(_w):
-                if _w not in _NEAR.setdefault(_v, []):
-                    _NEAR[_v].append(_w)
+            # two neighbours that are swapped touch one of both parts only: a letter stands between these
+            _p, _q, _begun, _ended = _BY_LENGTH.setdefault(len(_w), (len(_w) // 2, len(_w) - 1 - len(_w) // 2, {}, {}))
+            for _held, _part in ((_begun, _w[:_p]), (_ended, _w[0] + _w[-_q:])):
+                if _w not in _held.setdefault(_part, []):
+                    _held[_part].append(_w)
 
 
-_HEADS, _TAILS = ({part(w) for ws in _NEAR.values() for w in ws} for part in (lambda w: w[:2], lambda w: w[-2:]))
+_HEADS, _TAILS = ({part(w) for n in _BY_LENGTH.values() for ws in n[2].values() for w in ws} for part in (lambda w: w[:2], lambda w: w[-2:]))
 
 
 def _one_slip(a: str, b: str) -> bool:
@@ -119,8 +119,12 @@ def respelt(word: str, known, memo: dict[str, str]) -> str:
         found = word
         # one slip leaves the first two letters as they are, or the last two
         if len(word) >= LEAST_RESPELT and (word[:2] in _HEADS or word[-2:] in _TAILS) and word not in known and not _EXACT.get(word):
-            near = sorted({w for v in _slips(word) for w in _NEAR.get(v, ()) if _one_slip(word, w)})
-            found = near[0] if near else word
+            for n in (len(word) - 1, len(word), len(word) + 1):
+                if n in _BY_LENGTH:
+                    p, q, begun, ended = _BY_LENGTH[n]
+                    near = [w for w in (*begun.get(word[:p], ()), *ended.get(word[0] + word[-q:], ())) if _one_slip(word, w)]
+                    if near and (found is word or min(near) < found):
+                        found = min(near)
         if len(memo) > 300_000:
             memo.clear()
         memo[word] = found
@@ -189,6 +193,29 @@ class _Known(dict):
         return entry
 
 
+def _risky(plain: str, memo: dict) -> bool:
+    """Whether a word makes the features of concepts worth computing."""
+    return (plain in _IDIOMS or plain in _EXACT or plain[:_SHORTEST] in _STEMS) and (plain in _IDIOMS or not _RISKY.isdisjoint(concepts_of(plain, memo)))
+
+
+class _Numbers(dict):
+    """Numbers of words, looked up when first met: 0 says nothing, 1 ends a sentence, 2 is risky only, others are the scorer's own."""
+
+    def __init__(self, scorer: "Scorer"):
+        super().__init__()
+        self.scorer = scorer
+
+    def __missing__(self, word: str) -> int:
+        of, plain = self.scorer, word
+        if word[:2] in _HEADS or word[-2:] in _TAILS:
+            plain = respelt(word, of.vocabulary, of.slips)
+        k = of.own.get(plain)
+        if k is None:
+            k = 2 if _risky(plain, of.memo) else 0
+        self[word] = k
+        return k
+
+
 class Scorer:
     """Weights of features by category. `vocabulary` maps a word, a pair of words or a concept feature to its row of weights."""
 
@@ -202,6 +229,33 @@ class Scorer:
                 first, second = term.split(" ", 1)
                 self.pairs.setdefault(first, {})[second] = k
         self.known = _Known(self)
+        self.table = np.asarray(weights, np.float64).reshape(-1, 3)
+        # own words are those of the vocabulary and of its pairs
+        own = dict.fromkeys(w for t in vocabulary if not t.startswith("#") for w in t.split(" "))
+        self.own = {_END: 1} | {w: i for i, w in enumerate(own, 3)}
+        self.row = np.array([-1, -1, -1, *(vocabulary.get(w, -1) for w in own)], np.int64)
+        self.risky = np.array([False, False, True, *(_risky(w, self.memo) for w in own)])
+        joined = sorted((self.own[a] * len(self.row) + self.own[b], k) for a, ends in self.pairs.items() for b, k in ends.items())
+        self.joined, self.joined_row = np.array([(j, k) for j, k in joined] or [(-1, -1)], np.int64).T.copy()
+        self.numbers = _Numbers(self)
+
+    def odds(self, texts: list[str]) -> np.ndarray:
+        """Log odds of each category for many sentences at once: what `sentence` says of each, but for the last bits of the sums."""
+        words = "\n".join(texts).encode().translate(_LINES).replace(b"\n", b" A ").decode().split()
+        if len(self.numbers) > 300_000:
+            self.numbers.clear()
+        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        at = np.cumsum(ids == 1)
+        row, key = self.row[ids], ids[:-1] * len(self.row) + ids[1:]
+        place = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
+        alone, pair = np.flatnonzero(row >= 0), np.flatnonzero((self.joined[place] == key) & (ids[:-1] > 2) & (ids[1:] > 2))
+        # a feature counts once in a sentence
+        held = np.sort(np.concatenate([at[alone] * len(self.table) + row[alone], at[pair] * len(self.table) + self.joined_row[place[pair]]]))
+        of, term = np.divmod(held[np.append(True, held[1:] != held[:-1])[: len(held)]], max(len(self.table), 1))
+        out = np.stack([np.bincount(of, self.table[term, c], len(texts)) + self.base[c] for c in range(3)], 1)
+        for k in np.unique(at[self.risky[ids]]).tolist():
+            out[k] = self.sentence(texts[k])
+        return out
 
     def sentence(self, text: str) -> tuple[float, float, float]:
         """Log odds of each category."""

@@ -494,6 +494,34 @@ def test_slips_are_respelt():
     assert [content.respelt(w, {"cretan"}, memo) for w in ("cretinn", "imbecioe", "idoit", "cretan", "river", "pig", "bastrd", "worthles")] == ["cretin", "imbecile", "idiot", "cretan", "river", "pig", "bastard", "worthless"]
 
 
+def test_sentences_are_scored_together(monkeypatch):
+    """Many sentences at once get what each gets alone; only those with a risky word are looked at alone."""
+    texts = ["the boats wait at the pier", "you idoit", "", "toads visit the boats", "...", "A. the boats, the boats", "wait toads wait", "fuck you"] * 2
+    scorer = content.train(["the boats wait at the pier", "toads visit the boats", "wait for the boats toads visit"] * 4, [["none"], ["abusive"], ["abusive"]] * 4)
+    alone = [scorer.sentence(t.lower()) for t in texts]
+    asked, sentence = [], scorer.sentence
+    monkeypatch.setattr(scorer, "sentence", lambda t: asked.append(t) or sentence(t))
+    assert abs(scorer.odds([t.lower() for t in texts]) - alone).max() < 1e-9 and sorted(asked) == ["fuck you"] * 2 + ["you idoit"] * 2
+    assert len({tuple(a) for a in alone}) > 4 and scorer.odds(["..."]).shape == (1, 3)
+
+
+def test_slips_are_found_by_halves():
+    insults = sorted({w for c in ("insult", "scorn", "slur") for w in content.CONCEPTS[c].split() if len(w) >= content.LEAST_RESPELT and not w.endswith("*")})
+    rng = random.Random(5)
+    for word in {w[:i] + x + w[i + k :] for w in insults[::5] for i in range(len(w)) for k, x in ((0, "q"), (1, ""), (1, "q"), (2, w[i : i + 2][::-1]))} | {"".join(rng.choices("abcdest", k=6)) for _ in range(200)}:
+        near = [w for w in insults if content._one_slip(word, w)] if len(word) >= content.LEAST_RESPELT and not content._EXACT.get(word) else []
+        assert content.respelt(word, set(), {}) == (near[0] if near else word), word
+
+
+def test_odd_tokens_of_many_texts():
+    texts = ["", "a", "a1", "plain words", "y o u  i-d-i-o-t", "x_i.d.i.o.t", "1 2 3 4", "i d i o t", "soooo b4d", "a.b-c", "f*ck", "aaa", "i.d.i.o.t!"]
+    found = abuse._oddities(texts)
+    assert found == [abuse._oddities([t])[0] for t in texts]
+    assert all(f[0] for t, f in zip(texts, found) if abuse._APART.search(t)) and not found[3][0] and not found[9][0]
+    odd = [[i for i in range(len(t) - 1) if re.match(r"[a-z][0-9@$+|*#%!_]|[0-9@$+|*#%!_][a-z]|([a-z])\1\1", t[i:])] for t in texts]
+    assert [f[1] for f in found] == odd and odd[2] == [0] and odd[11] == [0]
+
+
 def test_held_out_agreement_with_raters(spark, data):
     docs, labels = spark.read.parquet(f"{data}/../sf0.1/documents.parquet"), spark.read.parquet(f"{data}/../sf0.1/content_labels.parquet")
     rows = abuse.held_out(docs, labels).collect()
