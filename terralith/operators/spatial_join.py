@@ -24,6 +24,8 @@ BASE, DEEPEST = 1024.0, 24
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000, 32 << 20
 #: Features per different geometry from which pairs of geometries are tested instead of pairs of features, and rows of the result that one task may make of a geometry.
 SHARED, HOT_PAIRS = 2, 2_000_000
+#: Rows of the result that a task makes of many geometries, about: these take the time, not the few bytes that they come from.
+TASK_PAIRS = 8_000_000
 
 #: Predicates of (left, right): whether the boxes must overlap, and the exact test.
 PREDICATES = {
@@ -109,9 +111,10 @@ def _shape_pairs(ls: DataFrame, rs: DataFrame, predicate: str, condition: Column
     met = _tested(_grid_pairs(_prefixed(l_shapes, "l_"), _prefixed(r_shapes, "r_"), boxes_meet("l_", "r_")), predicate)
     met = cut(met.select("l__shape", "r__shape", "l__n", "r__n", *[c for c in met.columns if c == "relation"]))
     rows = met.groupBy("r__shape").agg((F.sum("l__n") * F.first("r__n")).alias("_n"))
+    tasks = -(-int(rows.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]) // TASK_PAIRS)
     counts = l_shapes.select(F.col("_shape").alias("l__shape"), "_n")
     left = salted_join(ls.select(_shape("l_").alias("l__shape"), *ls.columns), met.drop("l__n", "r__n"), "l__shape", counts=counts).drop("l__shape")
-    pairs = salted_join(left, rs.select(_shape("r_").alias("r__shape"), *rs.columns), "r__shape", HOT_PAIRS, rows).drop("r__shape")
+    pairs = salted_join(left, rs.select(_shape("r_").alias("r__shape"), *rs.columns), "r__shape", HOT_PAIRS, rows, tasks if tasks > 1 else None).drop("r__shape")
     return pairs if condition is None else pairs.where(condition)
 
 

@@ -94,6 +94,20 @@ def test_shared_geometries_are_tested_once(spark, monkeypatch, how):
     assert sum(tested) <= 22 * 22  # 22 different boxes, 122 features
 
 
+@pytest.mark.parametrize("hot", [40, 1_000_000])
+def test_tasks_share_the_rows_that_they_make(spark, monkeypatch, hot):
+    """The join of features that share geometries has tasks by the rows of its result, not by the bytes that it reads."""
+    monkeypatch.setattr(spatial_join, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(spatial_join, "HOT_PAIRS", hot)
+    monkeypatch.setattr(spatial_join, "TASK_PAIRS", 5)
+    d = crowd(spark, 120, 8)
+    rows = [(r["id"], r["xmin"], r["ymin"], r["xmax"], r["ymax"]) for r in d.collect()]
+    expected = sorted((a[0], b[0]) for a in rows for b in rows if plain(a, b, "overlaps"))
+    pairs = spatial_pairs(d, d, "overlaps").select("l_id", "r_id")
+    assert pairs.rdd.getNumPartitions() >= -(-len(expected) // 5) > 10
+    assert sorted(map(tuple, pairs.collect())) == expected
+
+
 def test_adjacency_of_crowded_cells(spark, monkeypatch):
     monkeypatch.setattr(spatial_join, "BROADCAST_ROWS", 5)
     monkeypatch.setattr(joins, "HOT_ROWS", 4)
