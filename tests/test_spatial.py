@@ -221,3 +221,26 @@ def test_common_neighbours_need_no_distinct_of_all_pairs(spark):
     out = relations.common_neighbor(adjacent)
     assert sorted((r["anchor_id_1"], r["anchor_id_2"], r["shared_neighbor_id"]) for r in out.collect()) == [("a", "b", "m"), ("a", "c", "m"), ("a", "m", "b"), ("b", "c", "m"), ("b", "m", "a")]
     assert out._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"
+
+
+def test_common_neighbours_list_edges_by_geometry(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 40)
+    monkeypatch.setattr(relations, "TASK_PAIRS", 200, raising=False)
+    monkeypatch.setattr(relations, "LEAST_PART", 5, raising=False)
+    d = crowd(spark, 80, 14)
+    # an id with two geometries, one with two names, and a feature given twice
+    moved = d.where("id = 'c3'").withColumn("xmin", F.col("xmin") + 2).withColumn("xmax", F.col("xmax") + 2).withColumn("geometry", call("st_makeenvelope", "xmin", "ymin", "xmax", "ymax"))
+    renamed = d.where("id = 'c4'").withColumn("names", F.struct(F.lit("other").alias("primary")))
+    d = d.unionByName(moved).unionByName(renamed, allowMissingColumns=True).unionByName(d.where("id = 'c5'"))
+    rows = {(r["id"], r["names"]["primary"], r["subtype"], r["xmin"], r["ymin"], r["xmax"], r["ymax"]) for r in d.collect()}
+    edges = {(a[:3], b[:3]) for a in rows for b in rows if a[0] != b[0] and plain((0, *a[3:]), (0, *b[3:]), "touches")}
+    at = {}
+    for a, s in edges:
+        at.setdefault(s[0], []).append((a, s))
+    expected = sorted({p + q + s for same in at.values() for p, s in same for q, _ in same if p[0] < q[0]})
+    joined = []
+    salted = relations.salted_join
+    monkeypatch.setattr(relations, "salted_join", lambda many, *more, **options: joined.append(many.count()) or salted(many, *more, **options))
+    out = relations.build(d, d, "common_neighbor")
+    assert sorted(tuple(r) for r in out.collect()) == expected and expected
+    assert 0 < max(joined) < len(edges)
